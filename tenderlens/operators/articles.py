@@ -86,12 +86,10 @@ def build_article_table(lines: DataFrame, dictionary: Dictionary | None = None,
     if dictionary is None:
         dictionary = lemmatize_dictionary(spark, TERMS, lemmas)
     stopwords = default_stopwords() if stopwords is None else stopwords
-    # The empty array pins the cleaned text in a stage of its own, so that each of the term
-    # lookups reads the finished text instead of cleaning it anew.
     cleaned = extract_sections(lines).select(
         "file", "number",
         parse_article_id("details").alias("article_id"),
         parse_broken_date("details").alias("date"),
-        F.explode(F.array(clean_document("article", stopwords, lemmas))).alias("text"))
+        clean_document("article", stopwords, lemmas).alias("text"))
     flagged = classify(cleaned, "text", dictionary).drop("text")
     return dedupe_first(flagged, ["file", "article_id"], "number").drop("number")
