@@ -25,13 +25,13 @@ def stream_ingest(spark: SparkSession, source: str, store: AuctionStore, checkpo
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def process(records, batch: int) -> None:
-        ingest_batch(store, records, batch, run_type="INCREMENTAL")
+        ingest_batch(store, with_arrival(records).drop("_metadata"), batch, run_type="INCREMENTAL")
         if compact_every and batch and batch % compact_every == 0:
             for table in (store.securities, store.auctions, store.bidders):
                 table.compact(batch)
 
-    # Arrival order is fixed before the batch function, where file metadata is still known.
-    return (with_arrival(reader.json(source)).writeStream
+    # File metadata is only known to the reader, so it travels along as a column.
+    return (reader.json(source).select("*", "_metadata").writeStream
             .foreachBatch(process)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
