@@ -13,24 +13,27 @@ from tenderlens.session import scalars, small_side
 
 def _long_pairs(df: DataFrame, group: list[str], pairs: list[tuple[str, str]],
                 rows_needed: int = 0) -> DataFrame:
-    """All pair statistics from one aggregation, one output row per pair (and group)."""
-    stats = {}
+    """All pair statistics from one aggregation, one output row per pair (and group).
+
+    Each row is expanded to its column pairs inside the task and reduced there before the shuffle.
+    With one aggregate per pair instead, the generated code outgrows what the JVM compiles.
+    """
+    wanted: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for a, b in pairs:
-        if (b, a) not in stats:
-            stats[a, b] = (pair_correlation(a, b), pair_count(a, b))
-    wide = [c.alias(f"_{kind}{i}") for i, both in enumerate(stats.values())
-            for kind, c in zip("rn", both)]
-    table = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), *wide)
-    place = {pair: i for i, pair in enumerate(stats)}
-    entries = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n_obs"))
-        for a, b in pairs
-        for i in [place[(a, b) if (a, b) in place else (b, a)]]
-    ]
+        wanted.setdefault((b, a) if (b, a) in wanted else (a, b), []).append((a, b))
+    x, y = F.col("_x"), F.col("_y")
+    expanded = df.select(*group, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"),
+                 F.col(b).cast("double").alias("_y"))
+        for i, (a, b) in enumerate(wanted)])))
+    table = expanded.groupBy(*group, "_pair").agg(
+        F.count(F.lit(1)).alias("_rows"), pair_correlation(x, y).alias("r"),
+        pair_count(x, y).alias("n_obs"))
+    labels = F.array(*[
+        F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in names])
+        for names in wanted.values()])
     return (table.filter(F.col("_rows") >= rows_needed)
-            .select(*group, F.explode(F.array(*entries)).alias("pair"))
-            .select(*group, "pair.*"))
+            .select(*group, F.inline(labels[F.col("_pair")]), "r", "n_obs"))
 
 
 def corr_matrix(df: DataFrame, columns: list[str], group: list[str] = (), min_rows: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.operators.ordering import running_total
+from tenderlens.session import materialise
 
 LETTERS = "^[A-Za-z]+$"
 
@@ -38,7 +39,9 @@ def border_grams(docs: DataFrame, order: list[str], tokens: str, longest: int =
     edges = F.filter(
         F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))),
         lambda e: (e["at"] < reach) | (e["at"] >= size - reach))
-    ends = docs.select(*order, size.cast("bigint").alias("_size"), edges.alias("_edges")).filter("_size > 0")
+    # Range partitioning samples its input, so the few tokens per document are settled first.
+    ends = materialise(
+        docs.select(*order, size.cast("bigint").alias("_size"), edges.alias("_edges")).filter("_size > 0"))
     placed = running_total(ends, order, "_size", "_start").select(
         F.col("_start").alias("doc"), "_start", F.explode("_edges").alias("e")
     ).select("doc", (F.col("_start") + F.col("e.at")).alias("place"), F.col("e.token").alias("token"))

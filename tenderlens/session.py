@@ -55,6 +55,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core work when a file scan has fewer splits than cores.
+
+    Heavy per-row work on one small file would otherwise run in a single task. A large input has
+    more splits than cores and passes through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a reduced table and broadcast it only if its counted size allows.
 

@@ -10,7 +10,7 @@ from tenderlens.operators import correlation as corr
 from tenderlens.operators import filters as flt
 from tenderlens.operators import joins, ranking, reshape, rolling
 from tenderlens.workload import views as v
-from tenderlens.workload.registry import query, rounded, rounds
+from tenderlens.workload.registry import near, nears, query, rounded, rounds, settled
 from tenderlens.workload.views import AS_OF, START, using
 
 ID_ORDER = ["auction_date", "auction_id"]
@@ -269,15 +269,15 @@ _MILLIONS = ["fima_accepted_millions", "soma_accepted_millions", "avg_offering_m
 
 
 @query("daily_auction_rollup", using("auctions_daily", f"""SELECT date, auction_count,
-    {rounds(*_DAILY, digits=9)}, {rounds(*_MILLIONS, digits=12)} FROM auctions_daily"""))
+    {nears(*_DAILY, digits=9)}, {nears(*_MILLIONS, digits=10)} FROM auctions_daily"""))
 def _(spark, sf):
-    return rounded(v.auctions_daily(spark, sf), 9, **dict.fromkeys(_MILLIONS, 12))
+    return settled(v.auctions_daily(spark, sf), 9, **dict.fromkeys(_MILLIONS, 10))
 
 
 @query("weekly_rollup", using("weekly", f"""SELECT week, auction_count,
-    {rounds('avg_btc', 'std_btc', 'avg_yield', digits=9)} FROM weekly"""))
+    {nears('avg_btc', 'std_btc', 'avg_yield', digits=9)} FROM weekly"""))
 def _(spark, sf):
-    return rounded(agg.weekly_rollup(v.typed_auctions(spark, sf), AS_OF), 9)
+    return settled(agg.weekly_rollup(v.typed_auctions(spark, sf), AS_OF), 9)
 
 
 @query("participation_by_type", using("facts", """SELECT security_type,
@@ -379,8 +379,8 @@ def _(spark, sf):
 # --- correlation, anomalies, stress ------------------------------------------------------
 
 
-def r_sql(a: str, b: str) -> str:
-    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 6) END"
+def r_sql(a: str, b: str, digits: int = 6) -> str:
+    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), {digits}) END"
 
 
 def matrix_sql(source: str, columns: list[str], group: str = "", having: str = "") -> str:
@@ -456,20 +456,20 @@ def _frame(rows: int, over: str) -> str:
 
 
 @query("rolling_mean_by_type", using("typed", f"""SELECT auction_id, security_type,
-    round(avg(bid_to_cover_ratio) {_frame(30, _BY_TYPE)}, 9) AS moving_avg
+    {near('avg(bid_to_cover_ratio) ' + _frame(30, _BY_TYPE), 9)} AS moving_avg
     FROM typed WHERE bid_to_cover_ratio IS NOT NULL"""))
 def _(spark, sf):
     rows = v.typed_auctions(spark, sf).select("security_type", *ID_ORDER, "bid_to_cover_ratio")
-    return rounded(rolling.rolling_mean(rows, "bid_to_cover_ratio", ID_ORDER, ["security_type"])
+    return settled(rolling.rolling_mean(rows, "bid_to_cover_ratio", ID_ORDER, ["security_type"])
                    .select("auction_id", "security_type", "moving_avg"), 9)
 
 
 @query("rolling_mean_market", using("auctions", f"""SELECT auction_id,
-    round(avg(bid_to_cover_ratio) {_frame(30, 'ORDER BY auction_date, auction_id')}, 9) AS moving_avg
+    {near('avg(bid_to_cover_ratio) ' + _frame(30, 'ORDER BY auction_date, auction_id'), 9)} AS moving_avg
     FROM auctions WHERE bid_to_cover_ratio IS NOT NULL"""))
 def _(spark, sf):
     rows = v.auctions(spark, sf).select(*ID_ORDER, "bid_to_cover_ratio")
-    return rounded(rolling.rolling_mean(rows, "bid_to_cover_ratio", ID_ORDER).select(
+    return settled(rolling.rolling_mean(rows, "bid_to_cover_ratio", ID_ORDER).select(
         "auction_id", "moving_avg"), 9)
 
 

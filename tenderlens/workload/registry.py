@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,25 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
 
+def settled(df: DataFrame, digits: int, **special: int) -> DataFrame:
+    """``rounded`` for means of short decimals: exact halves are frequent there, and a nudge far
+    below the last digit makes both engines round them the same way."""
+    def near(name: str) -> Column:
+        d = special.get(name, digits)
+        return F.round(F.col(name) + F.lit(10.0 ** -(d + 3)), d).alias(name)
+    return df.select(*[near(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+                       for f in df.schema])
+
+
+def near(expression: str, digits: int) -> str:
+    """``settled`` for one SQL expression."""
+    return f"round({expression} + 1e-{digits + 3}, {digits})"
+
+
+def nears(*columns: str, digits: int) -> str:
+    return ", ".join(f"{near(c, digits)} AS {c}" for c in columns)
+
+
 def rounds(*columns: str, digits: int = 6) -> str:
     """The same for a select list in SQL."""
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
