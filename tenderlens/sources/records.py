@@ -16,13 +16,13 @@ PAGE = T.StructType([
 
 
 def with_arrival(df: DataFrame, name: str = "arrival") -> DataFrame:
-    """File rows in arrival order: older files first, then position in the file.
+    """File rows in arrival order: by file path, then by place in the file.
 
-    Row ids grow within a file split, and a split is never cut, so the order stays the same
-    however the splits are spread over tasks.
+    Name landing files so that they sort by time; unlike modification times, names survive
+    copying. Row ids grow within a file split, and a split is never cut, so the order stays the
+    same however the splits are spread over tasks.
     """
     return df.withColumn(name, F.struct(
-        F.col("_metadata.file_modification_time").alias("written"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row")))

@@ -27,8 +27,8 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def save_table(df: DataFrame, path: str, schema: T.StructType, partition_by: tuple[str, ...] = (),
                sort_by: tuple[str, ...] = ()) -> None:
     """Write a table; sorted files let later scans skip row groups."""
-    extra = [c for c in partition_by if c not in schema.fieldNames()]
-    rows = df.select(*conform(df, schema).columns, *extra) if extra else conform(df, schema)
+    extra = [df.schema[c] for c in partition_by if c not in schema.fieldNames()]
+    rows = conform(df, T.StructType([*schema.fields, *extra]))
     if partition_by:
         # Spread each folder over several tasks, so that a crowded year is no single file.
         rows = rows.repartition(*partition_by, F.pmod(F.xxhash64(*(sort_by or rows.columns[:1])), F.lit(16)))
@@ -53,7 +53,7 @@ class KeyedTable:
 
     def _version(self) -> tuple[int, int]:
         """(version of the base, last batch folded into it)."""
-        log = self._read("versions", T.StructType().add("version", "bigint").add("last_batch", "bigint"))
+        log = self._read("versions", T.StructType().add("version", T.LongType()).add("last_batch", T.LongType()))
         newest = None if log is None else log.agg(
             F.max(F.struct("version", "last_batch")).alias("v")).first()["v"]
         return (newest["version"], newest["last_batch"]) if newest else (0, -1)
@@ -66,7 +66,7 @@ class KeyedTable:
         """Current rows, or those before a batch; None if nothing was ever written."""
         version, folded = self._version()
         base = self._read(f"base/version={version}", self.schema) if version else None
-        changes = self._read("changes", T.StructType(self.schema.fields).add("batch", "bigint"))
+        changes = self._read("changes", T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())]))
         if changes is not None:
             changes = changes.filter(F.col("batch") > folded)
             if before is not None:
