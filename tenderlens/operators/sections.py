@@ -126,9 +126,12 @@ def _assemble(state: DataFrame) -> DataFrame:
         text = F.when(F.size("lines") > 0,
                       F.concat(F.array_join("lines", separator), F.lit(separator))).otherwise("")
         return bodies.filter((F.col("role") == role) & F.col("number").isNotNull()).select(
-            "file", "number", text.alias(role))
+            "file", "number", "segment", text.alias(role))
 
-    return body("article", " ").join(body("details", "\n"), ["file", "number"], "left")
+    # Details left open into the next article end under its number; its own details come last.
+    details_text = body("details", "\n").groupBy("file", "number").agg(
+        F.max_by("details", "segment").alias("details"))
+    return body("article", " ").drop("segment").join(details_text, ["file", "number"], "left")
 
 
 def _last_value(details, pattern: str) -> Column:
