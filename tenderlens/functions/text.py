@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SENTENCE_MARK = "\u0001"
 LITERAL_LEMMAS = 500
+_ALL = 1_000_000_000
 
 # Languages whose stop words are removed, whatever the language of the text.
 STOP_LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "hungarian",
@@ -119,7 +120,9 @@ def clean_tokens(c, stopwords: list[str], lemmas: dict[str, str] | None = None)
         lambda s: F.filter(F.split(s, " "), lambda t: (t != "") & ~t.isin(*stopwords)) if stopwords
         else _tokens(s))
     kept = F.filter(sentences, lambda words: F.size(words) > 0)
-    body = F.flatten(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    # Dropping the last one from the reversed list names the expression once; asking for its size
+    # would clean every text twice.
+    body = F.flatten(F.reverse(F.slice(F.reverse(kept), F.lit(2), F.lit(_ALL))))
     return lemmatize(body, lemmas)
 
 

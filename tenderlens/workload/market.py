@@ -159,15 +159,15 @@ def _(spark, sf):
     return v.auctions(spark, sf).select("auction_id", m.auction_status("bid_to_cover_ratio").alias("status"))
 
 
-@query("pct_change", using("typed", """SELECT auction_id, security_type, round(change, 6) AS change FROM (
+@query("pct_change", using("typed", f"""SELECT auction_id, security_type, {near('change', 6)} AS change FROM (
     SELECT auction_id, security_type, bid_to_cover_ratio / nullif(lag(bid_to_cover_ratio) OVER (
     PARTITION BY security_type ORDER BY auction_date, auction_id), 0) - 1 AS change
     FROM typed WHERE bid_to_cover_ratio IS NOT NULL)"""))
 def _(spark, sf):
     present = v.typed_auctions(spark, sf).select(
         "security_type", *ID_ORDER, "bid_to_cover_ratio").dropna(subset=["bid_to_cover_ratio"])
-    return rounded(rolling.pct_change(present, "bid_to_cover_ratio", ID_ORDER, ["security_type"])
-                   .select("auction_id", "security_type", "change"))
+    return settled(rolling.pct_change(present, "bid_to_cover_ratio", ID_ORDER, ["security_type"])
+                   .select("auction_id", "security_type", "change"), 6)
 
 
 @query("zscore", using("typed", """SELECT auction_id, round((bid_to_cover_ratio - mean) / nullif(std, 0), 6) AS z_score
@@ -483,15 +483,15 @@ def _(spark, sf):
 
 
 @query("annualized_volatility", using("typed", f"""SELECT auction_id, security_type,
-    round(btc_returns, 6) AS btc_returns, round(CASE WHEN count(btc_returns) {_frame(30, _BY_TYPE)} >= 10
-    THEN stddev_samp(btc_returns) {_frame(30, _BY_TYPE)} END * sqrt(252), 5) AS volatility FROM (
+    {near('btc_returns', 6)} AS btc_returns, round(CASE WHEN count(btc_returns) {_frame(30, _BY_TYPE)} >= 10
+    THEN stddev_samp(btc_returns) {_frame(30, _BY_TYPE)} END * sqrt(252) + 1e-9, 6) AS volatility FROM (
     SELECT auction_id, auction_date, security_type, bid_to_cover_ratio /
     nullif(lag(bid_to_cover_ratio) OVER ({_BY_TYPE}), 0) - 1 AS btc_returns
     FROM typed WHERE bid_to_cover_ratio IS NOT NULL)"""))
 def _(spark, sf):
     rows = v.typed_auctions(spark, sf).select("security_type", *ID_ORDER, "bid_to_cover_ratio")
     volatility = rolling.annualized_volatility(rows, "bid_to_cover_ratio", ID_ORDER, ["security_type"])
-    return rounded(volatility.select("auction_id", "security_type", "btc_returns", "volatility"), volatility=5)
+    return settled(volatility.select("auction_id", "security_type", "btc_returns", "volatility"), 6)
 
 
 # --- rankings ----------------------------------------------------------------------------
