@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions.measures import (correlation_direction, correlation_strength,
                                            pair_correlation, pair_count)
 from tenderlens.operators.filters import complete_cases
-from tenderlens.session import scalars, small_side
+from tenderlens.session import materialise, scalars, small_side
 
 
 def _long_pairs(df: DataFrame, group: list[str], pairs: list[tuple[str, str]],
@@ -102,6 +102,7 @@ def detect_anomalies(auctions: DataFrame, column: str = "bid_to_cover_ratio",
 def market_stress_index(weekly: DataFrame) -> DataFrame:
     """Mean of negated demand, yield and volatility z-scores over weeks."""
     sources = {"btc_zscore": "avg_btc", "yield_zscore": "avg_yield", "volatility_zscore": "std_btc"}
+    weekly = materialise(weekly)
     moments = scalars(weekly, *[f(F.col(c)) for c in sources.values()
                                 for f in (F.avg, F.stddev_samp)])
     scored = weekly.withColumns({

@@ -10,18 +10,25 @@ from tenderlens.functions.measures import share_pct
 from tenderlens.functions.parsing import any_malformed, parse_as, parse_date, rename_fields
 from tenderlens.operators.ordering import with_position
 from tenderlens.schemas import ARTICLES, AUCTIONS, BIDDER_DETAILS, INDICES, SECURITIES, received
+from tenderlens.session import materialise
 
 # Bidder groups that carry a share of the accepted amount.
 SHARED = ["primary_dealer", "direct_bidder", "indirect_bidder", "fima", "soma"]
 
 
-def latest_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key. A key with very many rows shrinks to one row per task first."""
+def latest_rows(df: DataFrame, keys: list[str], order: str, first: str | None = None) -> DataFrame:
+    """The last row per key. A key with very many rows shrinks to one row per task first.
+
+    ``first`` names an extra column for the order value of the key's first row.
+    """
     others = [c for c in df.columns if c not in (*keys, order)]
-    if not others:
+    extra = [F.min(order).alias(first)] if first else []
+    kept = [F.max_by(F.struct(*others), order).alias("_last")] if others else []
+    if not kept and not extra:
         return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_last")).select(
-        *[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns if c != order])
+    return df.groupBy(*keys).agg(*kept, *extra).select(
+        *[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns if c != order],
+        *([first] if first else []))
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -126,23 +133,24 @@ def quarantine(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged.filter(~F.col("failed")), staged.filter("failed")
 
 
-def with_auction_ids(latest: DataFrame, existing: DataFrame | None, first_seen: DataFrame) -> DataFrame:
-    """Known auctions keep their id; new ones are numbered on in order of first arrival.
+def with_auction_ids(arrived: DataFrame, existing: DataFrame | None, order: str = "arrival") -> DataFrame:
+    """The last row per auction of a batch with its id.
 
-    ``first_seen`` holds (cusip, auction_date, arrival) for the batch.
+    Known auctions keep their id; new ones are numbered on in order of first arrival, by a
+    distributed row number.
     """
     keys = ["cusip", "auction_date"]
+    last = latest_rows(arrived, keys, order, first="_first")
     if existing is None:
-        fresh, top = first_seen, F.lit(0).cast("bigint")
-        known = None
+        last, top = last.withColumn("auction_id", F.lit(None).cast("bigint")), F.lit(0)
     else:
-        known = existing.select(*keys, "auction_id")
-        fresh = first_seen.join(known.select(*keys), keys, "left_anti")
-        top = F.coalesce(existing.agg(F.max("auction_id").alias("top")).scalar(), F.lit(0)).cast("bigint")
-    numbered = with_position(fresh, ["arrival", *keys], "_place").select(
-        *keys, (F.col("_place") + 1 + top).alias("auction_id"))
-    ids = numbered if known is None else known.unionByName(numbered)
-    return latest.join(ids, keys, "inner")
+        last = last.join(existing.select(*keys, "auction_id"), keys, "left")
+        top = F.coalesce(existing.agg(F.max("auction_id").alias("top")).scalar(), F.lit(0))
+    # Numbering samples its input before it sorts it, so the merged rows are settled first.
+    last = materialise(last)
+    fresh = with_position(last.filter("auction_id IS NULL"), ["_first", *keys], "_place")
+    numbered = fresh.withColumn("auction_id", (F.col("_place") + 1 + top).cast("bigint")).drop("_place")
+    return last.filter("auction_id IS NOT NULL").unionByName(numbered).drop("_first")
 
 
 def upsert_articles(existing: DataFrame | None, incoming: DataFrame, order: str) -> DataFrame:

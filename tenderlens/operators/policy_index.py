@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.session import scalars
+from tenderlens.session import materialise, scalars
 
 # Rate column -> (article count behind it, index made of it).
 RATES = {
@@ -31,7 +31,8 @@ def daily_article_counts(articles: DataFrame) -> DataFrame:
 
 def normalized_index(daily: DataFrame) -> DataFrame:
     """Rates per article and indices whose mean over all days is 100."""
-    rated = daily.withColumns({
+    # One row per day: settled, so that the articles are not classified again for the means.
+    rated = materialise(daily).withColumns({
         rate: F.try_divide(F.col(count).cast("double"), F.col("total_articles").cast("double"))
         for rate, (count, _) in RATES.items()})
     means = scalars(rated, *[F.avg(rate) for rate in RATES])
@@ -45,7 +46,7 @@ def normalized_index_v1(articles: DataFrame, digits: int = 4) -> DataFrame:
     daily = articles.dropna(subset=["date"]).groupBy("date").agg(
         F.coalesce(F.sum(F.col("is_fiscal_article").cast("bigint")), F.lit(0)).alias("is_fiscal_article"),
         F.count(F.lit(1)).alias("total_articles"))
-    rated = daily.withColumn(
+    rated = materialise(daily).withColumn(
         "rate", F.bround(F.col("is_fiscal_article").cast("double") / F.col("total_articles"), digits))
     mean, = scalars(rated, F.avg("rate"))
     return rated.withColumn(

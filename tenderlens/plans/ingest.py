@@ -46,10 +46,8 @@ def ingest_batch(store: AuctionStore, records: DataFrame, batch: int, run_type:
         store.securities.append(latest_rows(securities_from(staged, "arrival"), ["cusip"], "arrival"), batch)
 
         arrived = auctions_from(staged, "arrival")
-        first_seen = arrived.groupBy(*AUCTION_KEY).agg(F.min("arrival").alias("arrival"))
         stats = upsert_stats(known, arrived, AUCTION_KEY).first()
-        latest = latest_rows(arrived, AUCTION_KEY, "arrival")
-        auctions = materialise(with_auction_ids(latest, known, first_seen))
+        auctions = materialise(with_auction_ids(arrived, known))
         store.auctions.append(auctions, batch)
 
         bidders = latest_rows(bidders_from(staged, "arrival"), AUCTION_KEY, "arrival")

@@ -202,10 +202,7 @@ def _(spark, sf):
 @query("upsert_auctions", _sql("""SELECT auction_id, cusip, auction_date,
     CAST(CAST(nullif(high_yield, '') AS DECIMAL(10,4)) AS DOUBLE) AS high_yield FROM numbered""", *_ALL))
 def _(spark, sf):
-    rows = merge.auctions_from(_staged(spark, sf), "arrival")
-    keys = ["cusip", "auction_date"]
-    first_seen = rows.groupBy(*keys).agg(F.min("arrival").alias("arrival"))
-    numbered = merge.with_auction_ids(merge.latest_rows(rows, keys, "arrival"), None, first_seen)
+    numbered = merge.with_auction_ids(merge.auctions_from(_staged(spark, sf), "arrival"), None)
     return _as_double(numbered.select("auction_id", "cusip", "auction_date", "high_yield"))
 
 

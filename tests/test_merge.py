@@ -61,9 +61,11 @@ def test_upsert_is_idempotent(spark):
 def test_ids_continue(spark):
     day = dt.date(2024, 1, 1)
     known = spark.createDataFrame([("a", day, 7)], "cusip string, auction_date date, auction_id long")
-    latest = spark.createDataFrame([("a", day), ("b", day), ("c", day)], "cusip string, auction_date date")
-    seen = spark.createDataFrame([("a", day, 0), ("c", day, 1), ("b", day, 2)], "cusip string, auction_date date, arrival long")
-    got = {r["cusip"]: r["auction_id"] for r in merge.with_auction_ids(latest, known, seen).collect()}
+    rows = [("a", day, 1.0, 0), ("c", day, 1.0, 1), ("b", day, 1.0, 2), ("c", day, 2.0, 3)]
+    arrived = spark.createDataFrame(rows, "cusip string, auction_date date, high_yield double, arrival long")
+    numbered = merge.with_auction_ids(arrived, known).collect()
+    assert {r["cusip"]: r["high_yield"] for r in numbered} == {"a": 1.0, "b": 1.0, "c": 2.0}
+    got = {r["cusip"]: r["auction_id"] for r in numbered}
     assert got == {"a": 7, "c": 8, "b": 9}
 
 
