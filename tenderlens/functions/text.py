@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 SENTENCE_MARK = "\u0001"
 LITERAL_LEMMAS = 500
-_ALL = 1_000_000_000
 
 # Languages whose stop words are removed, whatever the language of the text.
 STOP_LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "hungarian",
@@ -18,9 +17,18 @@ STOP_LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "
 # Patterns of the clean-up.
 PARENTHESES = r"\([^)]*\)"
 SENTENCE_END = r"([.!?])\s+"
-COUNTRY = r"(?iU)\b(?:u\.?\s*s\.?|usa|u\.?\s*s\.?\s*a\.?)\b"
+COUNTRY = r"(?=[uU])(?iU)\b(?:u\.?\s*s\.?|usa|u\.?\s*s\.?\s*a\.?)\b"
 NOT_A_TOKEN = r"[^a-z0-9]+"
 
+# Within the clean-up sentences end with ':', the character after '9': a class of two ranges is
+# matched many times faster by Java than one with a third member. Colons of the text itself become
+# ';', which no rule tells from ':'.
+MARK = ":"
+NOT_A_TOKEN_OR_MARK = "[^a-z0-:]+"
+
+# The last marked sentence that has words, with the empty ones after it; possessive, so linear.
+LAST_SENTENCE = f"(?:^|(?<={MARK}))[^{MARK}]*+[{MARK} ]*+$"
+
 # Noun endings and their base form, first match wins.
 NOUN_ENDINGS = [("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("men", "man")]
 KEPT_ENDINGS = ["ss", "us", "is"]
@@ -39,8 +47,8 @@ def strip_parentheses(c) -> Column:
     return F.regexp_replace(_column(c), PARENTHESES, "")
 
 
-def _marked_sentences(c) -> Column:
-    return F.regexp_replace(_column(c), SENTENCE_END, "$1" + SENTENCE_MARK)
+def _marked_sentences(c, mark: str = SENTENCE_MARK) -> Column:
+    return F.regexp_replace(_column(c), SENTENCE_END, "$1" + mark)
 
 
 def split_sentences(c) -> Column:
@@ -109,21 +117,17 @@ def lemmatize(tokens, lemmas: dict[str, str] | None = None) -> Column:
 def clean_tokens(c, stopwords: list[str], lemmas: dict[str, str] | None = None) -> Column:
     """Tokens of a document after clean-up, without its last sentence that has any.
 
-    Sentence borders travel through the string functions as a control character, so all regular
-    expressions run once over the whole text and only the final word lists are nested.
+    Sentence borders travel through the string functions as a mark, so every step runs once over
+    the flat text. Each intermediate result is named once: inside array functions
+    Spark would compute a repeated expression again.
     """
-    text = strip_parentheses(F.translate(_column(c), SENTENCE_MARK, " "))
-    text = F.lower(normalize_country(_marked_sentences(text)))
-    text = F.regexp_replace(text, f"[^a-z0-9{SENTENCE_MARK}]+", " ")
-    sentences = F.transform(
-        F.split(text, SENTENCE_MARK),
-        lambda s: F.filter(F.split(s, " "), lambda t: (t != "") & ~t.isin(*stopwords)) if stopwords
-        else _tokens(s))
-    kept = F.filter(sentences, lambda words: F.size(words) > 0)
-    # Dropping the last one from the reversed list names the expression once; asking for its size
-    # would clean every text twice.
-    body = F.flatten(F.reverse(F.slice(F.reverse(kept), F.lit(2), F.lit(_ALL))))
-    return lemmatize(body, lemmas)
+    text = strip_parentheses(F.replace(_column(c), F.lit(MARK), F.lit(";")))
+    text = F.lower(normalize_country(_marked_sentences(text, MARK)))
+    text = F.regexp_replace(text, NOT_A_TOKEN_OR_MARK, " ")
+    text = F.replace(text, F.lit(MARK), F.lit(f" {MARK} "))
+    words = remove_stopwords(F.split(text, " "), ["", *stopwords])
+    body = F.regexp_replace(F.array_join(words, " "), LAST_SENTENCE, "")
+    return lemmatize(remove_stopwords(F.split(body, " "), ["", MARK]), lemmas)
 
 
 def clean_document(c, stopwords: list[str], lemmas: dict[str, str] | None = None) -> Column:

@@ -26,7 +26,7 @@ def stream_ingest(spark: SparkSession, source: str, store: AuctionStore, checkpo
 
     def process(records, batch: int) -> None:
         ingest_batch(store, with_arrival(records).drop("_metadata"), batch, run_type="INCREMENTAL")
-        if compact_every and batch and batch % compact_every == 0:
+        if compact_every and batch % compact_every == 0:
             for table in (store.securities, store.auctions, store.bidders):
                 table.compact(batch)
 
