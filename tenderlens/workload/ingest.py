@@ -12,7 +12,7 @@ from tenderlens.functions import parsing as ps
 from tenderlens.operators import merge
 from tenderlens.operators.articles import classify
 from tenderlens.operators.ordering import with_position
-from tenderlens.operators.policy_index import daily_article_counts, normalized_index
+from tenderlens.operators.policy_index import daily_article_counts
 from tenderlens.operators.sections import (extract_sections, parse_article_id, parse_broken_date)
 from tenderlens.plans.ingest import AuctionStore, NewsStore, verify_load
 from tenderlens.session import ensure_checkpoint_dir, materialise
@@ -21,7 +21,7 @@ from tenderlens.streaming.ingest import stream_ingest
 from tenderlens.workload import views as v
 from tenderlens.workload.market import _as_double
 from tenderlens.workload.news import dump_parts
-from tenderlens.workload.registry import near, nears, query, settled
+from tenderlens.workload.registry import near, query, settled
 from tenderlens.workload.views import using
 
 
