@@ -90,23 +90,27 @@ def double_array(pieces: list[str]) -> dict[str, np.ndarray]:
     return {"letters": np.array([ord(c) for c in letters], np.int64), "base": base, "check": check, "value": value}
 
 
+def part_pattern(pieces: list[str]) -> re.Pattern:
+    """Parts of a marked text that no piece crosses."""
+    if any(MARK in p.lstrip(MARK) for p in pieces):
+        raise ValueError("pieces with a marker after another character are not supported")
+    inside = "".join(re.escape(c) for c in sorted({c for p in pieces for c in p} - {MARK}))
+    return re.compile(f"{MARK}*[{inside}]+|{MARK}+|." if inside else f"{MARK}+|.", re.DOTALL)
+
+
 class Unigram:
     """Encodes and decodes with one vocabulary; ``encode`` and ``decode`` are inverse for any text."""
 
     def __init__(self, pieces: list[str], scores: np.ndarray, byte_ids: np.ndarray,
                  trie: dict[str, np.ndarray] | None = None):
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("pieces with a marker after another character are not supported")
         self.scores, self.byte_ids = scores, byte_ids
         self.trie = trie or double_array(pieces)
         self.codes = np.zeros(0x110000, np.int32)
         self.codes[self.trie["letters"]] = np.arange(1, len(self.trie["letters"]) + 1)
         used = [s for s, p in zip(scores, pieces) if p]
         self.unknown = int(min(used, default=0)) - UNKNOWN_PENALTY
-        known = {c for p in pieces for c in p}
         self.longest = max(map(len, pieces), default=1)
-        inside = "".join(re.escape(c) for c in sorted(known - {MARK}))
-        self.parts = re.compile(f"{MARK}*[{inside}]+|{MARK}+|." if inside else ".", re.DOTALL)
+        self.parts = part_pattern(pieces)
         data = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             data[i] = bytes([b])
