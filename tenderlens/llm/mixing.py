@@ -59,8 +59,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, max_copies: int = 2) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+                weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, max_copies: int = 2,
+                tag: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken and row_tag.
+
+    ``row_tag`` tells rows apart, also repeated ones: ``tag`` if given, else a number.
 
     ``size`` counts the words; null and empty texts have none and are never copied. A null source is a
     source of its own, the last one. Null ids share one random number, and repeated rows are ranked
@@ -69,9 +72,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sizes = materialise(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        (F.monotonically_increasing_id() if tag is None else tag).alias("row_tag"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"))
-        .withColumn("class", F.length(F.bin("size")))
-        .withColumn("row_tag", F.monotonically_increasing_id()))
+        .withColumn("class", F.length(F.bin("size"))))
     targets = source_targets(sizes, weights, total, max_copies)
     classes = sizes.groupBy("source", "class").agg(F.sum("size").alias("words"))
     classes = classes.join(targets, classes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -106,7 +109,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = ranked.join(extra, "row_tag", "left")
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("bigint")
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"))
+                         (copies * F.col("size")).alias("taken"), "row_tag")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    **options) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with its own columns only."""
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+                         F.monotonically_increasing_id().alias("tag"))
+    flat = packed.select("tag", *[F.col("row")[c].alias(a) for c, a in
+                                  ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))])
+    chosen = mix_sources(flat, tag=F.col("tag"), **options).filter("copies > 0").select("row_tag", "copies")
+    joined = packed.join(chosen, packed["tag"] == chosen["row_tag"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def _take(rows: DataFrame, room: DataFrame, nearest: bool, fitting: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.llm.registry import query, table, text_or_empty
@@ -181,10 +181,9 @@ def _surprise(n0: str, n1: str, all0: int, all1: int) -> Column:
     return F.when(a / all1 > b / all0, gain).otherwise(0.0)
 
 
-def score_documents(docs: DataFrame, weights: dict[str, float], bias: float, id_col: str = "doc_id",
-                    text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted for every row; null and empty texts get the score of no feature."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+def score_column(spark: SparkSession, weights: dict[str, float], bias: float, text: Column) -> Column:
+    """Score of every text; null and empty texts get the score of no feature."""
+    shared = spark.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,8 +191,7 @@ def score_documents(docs: DataFrame, weights: dict[str, float], bias: float, id_
         for texts in batches:
             yield pd.Series(scorer.score(texts))
 
-    scored = docs.select(F.col(id_col).alias("doc_id"), score(text_or_empty(text_col)).alias("score"))
-    return scored.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(F.coalesce(text, F.lit("")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,8 +217,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     never held out; repeated rows get equal scores; without labels every score is the same.
     """
     weights, bias = learn(training_rows(docs, labels, id_col, text_col), **options)
-    scored = score_documents(docs, weights, bias, id_col, text_col, threshold)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    score = score_column(docs.sparkSession, weights, bias, F.col(text_col))
+    scored = docs.select(F.col(id_col).alias("doc_id"), score.alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: float = 0.3, **options) -> DataFrame:
+    """The rows below the threshold, with their own columns; nothing is shuffled."""
+    weights, bias = learn(training_rows(docs, labels, id_col, text_col), **options)
+    return docs.filter(score_column(docs.sparkSession, weights, bias, F.col(text_col)) < threshold)
 
 
 @query("op5_toxicity")
