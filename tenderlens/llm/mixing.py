@@ -107,7 +107,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = (first.filter("took").select("row_tag", F.lit(1).alias("extra"))
              .unionByName(second.filter("took").select("row_tag", F.lit(1).alias("extra"))))
     joined = ranked.join(extra, "row_tag", "left")
-    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("bigint")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("bigint")
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"), "row_tag")
 

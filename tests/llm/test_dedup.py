@@ -1,0 +1,137 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tenderlens.llm import exact_dedup, near_dup
+from tenderlens.llm.components import connected_components
+from tenderlens.llm.near_dup import similar_groups
+
+
+def plain(text):
+    return re.sub("[\x20\x09-\x0d]+", " ", text or "")
+
+
+def test_exact_duplicates(odd_docs):
+    rows = [(r.doc_id, plain(r.text)) for r in odd_docs.collect()]
+    groups = defaultdict(list)
+    for doc, text in rows:
+        groups[text].append(doc)
+    got = exact_dedup.exact_duplicates(odd_docs).collect()
+    assert len(got) == len(rows)
+    kept = defaultdict(int)
+    for r in got:
+        text = next(t for d, t in rows if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        ids = [d for d in groups[text] if d is not None]
+        assert r.group_size == len(groups[text])
+        assert r.keep_id == (min(ids) if ids else None)
+        assert not r.kept or r.doc_id == r.keep_id
+        kept[text] += r.kept
+    assert all(n == 1 for n in kept.values()) and len(kept) == len(groups)
+
+
+@pytest.mark.parametrize("size", [16, 1 << 20])
+def test_a_full_filter_changes_nothing(spark, size):
+    docs = spark.range(3000).selectExpr("id doc_id", "cast(id % 2500 as string) text")
+    got = exact_dedup.exact_duplicates(docs, max_filter_bytes=size)
+    assert got.filter("kept").count() == 2500 and got.count() == 3000
+
+
+def test_most_unique_rows_are_not_shuffled(spark):
+    hashed = spark.range(20000).selectExpr("xxhash64(id) & 1152921504606846975 a", "xxhash64(id, 1) & 1152921504606846975 b")
+    plane, bits, hashes = exact_dedup.build_filter(hashed.union(hashed.limit(100)), 20100)
+    rows = np.array([(r.a, r.b) for r in hashed.collect()])
+    flags = exact_dedup.may_repeat(plane, bits, hashes, rows[:, 0], rows[:, 1])
+    assert 100 <= flags.sum() < 400
+
+
+def test_drop_exact_keeps_columns(odd_docs, no_docs):
+    out = exact_dedup.drop_exact_duplicates(odd_docs)
+    assert out.columns == odd_docs.columns
+    assert out.count() == len({plain(r.text) for r in odd_docs.collect()})
+    assert exact_dedup.drop_exact_duplicates(no_docs).count() == 0
+
+
+def brute_groups(rows, width, percent):
+    sets = {}
+    for doc, text in rows:
+        words = (text or "").encode().lower().split()
+        n = min(width, len(words))
+        sets[doc] = {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if words else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1:]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d)) for d in docs}
+
+
+@pytest.mark.parametrize("width, percent, chunk", [(3, 90, 500), (5, 80, 7)])
+def test_similar_groups(spark, width, percent, chunk):
+    draw = random.Random(width)
+    rows, bases = [], [[f"w{draw.randrange(400)}" for _ in range(draw.choice([4, 12, 30, 80, 150]))] for _ in range(6)]
+    for i in range(160):
+        words = list(draw.choice(bases)) if draw.random() < 0.8 else [f"v{draw.randrange(5000)}" for _ in range(30)]
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 4])):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(50)}"
+        rows.append((i, " ".join(words).upper() if i % 3 else "\n".join(words)))
+    rows += [(200, None), (201, ""), (202, "a"), (203, "A"), (204, " b ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, width=width, percent=percent, chunk=chunk).collect()}
+    assert got == brute_groups(rows, width, percent)
+
+
+def test_similar_groups_of_odd_rows(odd_docs, no_docs):
+    got = similar_groups(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by_id = defaultdict(set)
+    for r in got:
+        by_id[r.doc_id].add(r.component_id)
+    assert by_id[1] == {0} and by_id[10] == {9} and by_id[11] == {9} and by_id[None] == {None}
+    assert by_id[2] == {2} and by_id[3] == {3}
+    assert similar_groups(no_docs).count() == 0
+    kept = near_dup.drop_similar(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(by_id) - {1, 10, 11}
+
+
+def test_symmetric_difference_bound():
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(draw.integers(0, 1 << 60, 150).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.integers(0, 40):], draw.integers(0, 1 << 60, draw.integers(1, 40)).astype(np.uint64)]))
+        distance = int(np.bitwise_count(near_dup.bit_sketch(a) ^ near_dup.bit_sketch(b)).sum())
+        assert distance <= len(np.setxor1d(a, b))
+
+
+def test_components(spark):
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loops = {a for a, b in edges if a == b} - set(got)
+    assert got == {x: find(x) for x in root if x not in loops}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
