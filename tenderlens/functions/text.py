@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_MARK = "\u0001"
-LITERAL_LEMMAS = 500
+MAX_LEMMA_LETTERS = 100_000_000
 
 # Languages whose stop words are removed, whatever the language of the text.
 STOP_LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "hungarian",
@@ -90,16 +93,19 @@ def noun_base(token: Column) -> Column:
 
 
 def _lookup(lemmas: dict[str, str]):
-    """token array -> lemma array. Short maps are literals; longer ones go out as a broadcast."""
-    if len(lemmas) <= LITERAL_LEMMAS:
-        table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
-        return lambda tokens: F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), noun_base(t)))
-    shared = SparkContext.getOrCreate().broadcast(lemmas)
-
-    @F.pandas_udf("array<string>")
-    def mapped(column):
-        table = shared.value
-        return column.map(lambda tokens: None if tokens is None else [table.get(t) for t in tokens])
+    """token array -> lemma array, for a map of any length: one index look-up over each batch's tokens."""
+    size = sum(len(word) + len(base) for word, base in lemmas.items())
+    if size > MAX_LEMMA_LETTERS:
+        raise ValueError(f"a lemma map of {size} letters is too large to send to every task")
+    shared = SparkContext.getOrCreate().broadcast((list(lemmas), list(lemmas.values())))
+
+    @F.arrow_udf("array<string>")
+    def mapped(column: pa.Array) -> pa.Array:
+        words, bases = (pa.array(x, pa.string()) for x in shared.value)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        found = bases.take(pc.index_in(column.flatten().cast(pa.string()), value_set=words))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, found, mask=column.is_null() if column.null_count else None)
 
     return lambda tokens: F.transform(
         F.arrays_zip(tokens.alias("t"), mapped(tokens).alias("m")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions.measures import (correlation_direction, correlation_strength,
                                            pair_correlation, pair_count)
 from tenderlens.operators.filters import complete_cases
-from tenderlens.session import materialise, scalars, small_side
+from tenderlens.session import materialise, scalars
 
 
 def _long_pairs(df: DataFrame, group: list[str], pairs: list[tuple[str, str]],
@@ -87,7 +87,7 @@ def zscore(df: DataFrame, column: str, partition: list[str] = (), name: str = "z
         return df.withColumn(name, F.try_divide(x - mean, std))
     moments = df.groupBy(*partition).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std"))
     return (
-        df.join(small_side(moments), list(partition), "left")
+        df.join(moments, list(partition), "left")
         .withColumn(name, F.try_divide(x - F.col("_mean"), F.col("_std")))
         .drop("_mean", "_std"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.functions.measures import (fed_total, spread)
@@ -55,14 +55,15 @@ def available_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in present if filled[c]]
 
 
+def is_out_of_bounds() -> Column:
+    btc = F.col("bid_to_cover_ratio")
+    return ((F.col("high_yield") < 0) | ~F.col("price_per_100").between(0, 200)
+            | (btc.isNotNull() & ((btc <= 0) | (btc > 10))))
+
+
 def out_of_bounds(auctions: DataFrame) -> DataFrame:
     """Auctions with a negative yield, a price outside 0-200 or an absurd bid-to-cover."""
-    btc = F.col("bid_to_cover_ratio")
-    return auctions.filter(
-        (F.col("high_yield") < 0)
-        | ~F.col("price_per_100").between(0, 200)
-        | (btc.isNotNull() & ((btc <= 0) | (btc > 10)))
-    ).select("auction_id", "high_yield", "price_per_100", "bid_to_cover_ratio")
+    return auctions.filter(is_out_of_bounds()).select("auction_id", "high_yield", "price_per_100", "bid_to_cover_ratio")
 
 
 def yield_spread(df: DataFrame, high: str = "high_yield", low: str = "low_yield",

@@ -6,6 +6,8 @@ check decides, and adaptive execution splits a hot cusip when it has to shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,17 @@ def auction_facts(auctions: DataFrame, securities: DataFrame, bidders: DataFrame
                   start=None) -> DataFrame:
     """The wide fact: auction, security and, where present, bidder details."""
     base = auctions if start is None else since(auctions, "auction_date", start)
-    joined = auctions_with_security(base, securities).join(
-        bidders.select("auction_id", *BIDDER_COLUMNS), "auction_id", "left")
+    # Bidder details first: auctions come by auction_id, so their wide rows are shuffled once.
+    joined = auctions_with_security(
+        base.join(bidders.select("auction_id", *BIDDER_COLUMNS), "auction_id", "left"), securities)
     return joined.select(*AUCTION_COLUMNS, "security_type", "security_term",
                          "security_interest_rate", *BIDDER_COLUMNS)
 
 
 def bidder_facts(auctions: DataFrame, securities: DataFrame, bidders: DataFrame) -> DataFrame:
     """Only auctions that have both a security and bidder details."""
-    return auctions_with_security(auctions, securities).join(
-        bidders.select("auction_id", *BIDDER_COLUMNS), "auction_id", "inner")
+    return auctions_with_security(
+        auctions.join(bidders.select("auction_id", *BIDDER_COLUMNS), "auction_id", "inner"), securities)
 
 
 def daily_join(auctions_daily: DataFrame, index_daily: DataFrame) -> DataFrame:
@@ -72,7 +75,12 @@ def append_new(existing: DataFrame | None, incoming: DataFrame,
 
 def new_records(existing: DataFrame, incoming: DataFrame,
                 keys: tuple[str, ...] = ("cusip",)) -> DataFrame:
+    """Rows whose key is unseen. Rows without any key need no partner, only to know if there is one."""
     text = [F.coalesce(F.col(k).cast("string"), F.lit("nan")).alias(f"_key_{k}") for k in keys]
     names = [f"_key_{k}" for k in keys]
+    empty = reduce(lambda a, b: a & b, [F.col(n) == "nan" for n in names])
     known = existing.select(*text).distinct()
-    return incoming.select("*", *text).join(known, names, "left_anti").drop(*names)
+    keyed = incoming.select("*", *text)
+    seen_empty = existing.select(*text).filter(empty).limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    fresh = keyed.filter(~empty).join(known.filter(~empty), names, "left_anti")
+    return fresh.unionByName(keyed.filter(empty & (seen_empty == 0))).drop(*names)

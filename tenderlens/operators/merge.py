@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from tenderlens.functions.measures import share_pct
 from tenderlens.functions.parsing import any_malformed, parse_as, parse_date, rename_fields
 from tenderlens.operators.ordering import with_position
-from tenderlens.schemas import ARTICLES, AUCTIONS, BIDDER_DETAILS, INDICES, SECURITIES, received
+from tenderlens.schemas import AUCTIONS, BIDDER_DETAILS, INDICES, SECURITIES, received
 from tenderlens.session import materialise
 
 # Bidder groups that carry a share of the accepted amount.
@@ -17,26 +19,37 @@ SHARED = ["primary_dealer", "direct_bidder", "indirect_bidder", "fima", "soma"]
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: str, first: str | None = None) -> DataFrame:
-    """The last row per key. A key with very many rows shrinks to one row per task first.
+    """The last row per key; a row without an order value comes before all others.
 
-    ``first`` names an extra column for the order value of the key's first row.
+    A key with very many rows shrinks to one row per task before the shuffle. ``first`` names an extra
+    column for the order value of the key's first row.
     """
-    others = [c for c in df.columns if c not in (*keys, order)]
-    extra = [F.min(order).alias(first)] if first else []
-    kept = [F.max_by(F.struct(*others), order).alias("_last")] if others else []
-    if not kept and not extra:
-        return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(*kept, *extra).select(
-        *[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns if c != order],
-        *([first] if first else []))
+    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    last = df.withColumn("_back", F.row_number().over(newest)).filter("_back = 1").drop("_back", order)
+    if not first:
+        return last
+    starts = df.groupBy(*keys).agg(F.min(order).alias(first))
+    return last.join(starts.toDF(*[f"_{k}" for k in keys], first), same_keys(keys)).drop(*[f"_{k}" for k in keys])
+
+
+def same_keys(keys: list[str]) -> Column:
+    """Join condition on columns ``k`` and ``_k`` for which missing keys are equal."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+
+
+def _known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_{k}") for k in keys])
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Existing rows with every column of a known key replaced by its last incoming row."""
+    """Existing rows with every column of a known key replaced by its last incoming row.
+
+    A missing key is a key like any other.
+    """
     last = latest_rows(incoming, keys, order)
     if existing is None:
         return last
-    return existing.join(last.select(*keys), keys, "left_anti").unionByName(
+    return existing.join(_known_keys(last, keys), same_keys(keys), "left_anti").unionByName(
         last, allowMissingColumns=True)
 
 
@@ -46,8 +59,8 @@ def upsert_stats(existing: DataFrame | None, incoming: DataFrame, keys: list[str
     if existing is None:
         marked = seen.withColumn("_known", F.lit(None).cast("boolean"))
     else:
-        known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
-        marked = seen.join(known, keys, "left")
+        known = _known_keys(existing, keys).distinct().withColumn("_known", F.lit(True))
+        marked = seen.join(known, same_keys(keys), "left")
     new = F.count_if(F.col("_known").isNull())
     return marked.agg(new.alias("inserted"),
                       (F.coalesce(F.sum("_rows"), F.lit(0)) - new).alias("updated"))
@@ -173,6 +186,28 @@ def valid_articles(incoming: DataFrame, order: str) -> DataFrame:
     ).filter(F.col("date").isNotNull())
 
 
+def load_stats(articles: DataFrame, scores: DataFrame, phrases: DataFrame, order: str,
+               known_articles: DataFrame | None = None, known_indices: DataFrame | None = None,
+               known_phrases: DataFrame | None = None) -> DataFrame:
+    """Rows skipped, inserted and updated by a delivery of the three files, one row per table.
+
+    Articles without a readable date and scores beyond the last article date are skipped.
+    """
+    valid = valid_articles(articles, order)
+    dated = positional_date_join(scores, valid, [order])
+    trimmed = phrases.withColumn("phrase", F.trim("phrase"))
+
+    def stats(name: str, delivered: DataFrame, used: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+        counts = upsert_stats(known, used, [key])
+        rows = delivered.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return counts.select(F.lit(name).alias("table"), (rows - F.col("inserted") - F.col("updated")).alias("skipped"),
+                             "inserted", "updated")
+
+    return stats("fiscal_articles", articles, valid, known_articles, "article_id").unionAll(
+        stats("fiscal_policy_indices", scores, dated, known_indices, "date")).unionAll(
+        stats("top_phrases", phrases, trimmed, known_phrases, "phrase"))
+
+
 def positional_date_join(scores: DataFrame, articles: DataFrame, order: list[str]) -> DataFrame:
     """Give score row i the i-th smallest article date (M8). Rows beyond the last date drop out."""
     days = articles.select("date").dropna().distinct()
@@ -191,7 +226,3 @@ def upsert_phrases(existing: DataFrame | None, incoming: DataFrame, order: str)
     """Phrases by trimmed text; the last count wins (M9)."""
     trimmed = incoming.withColumn("phrase", F.trim("phrase"))
     return upsert(existing, trimmed.select("phrase", "count", order), ["phrase"], order)
-
-
-def conform_articles(df: DataFrame) -> DataFrame:
-    return conform(df, ARTICLES)

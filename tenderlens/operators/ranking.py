@@ -12,9 +12,9 @@ def top_phrases(phrases: DataFrame, limit: int = 50) -> DataFrame:
     return phrases.select("phrase", "count").orderBy(F.desc("count"), "phrase").limit(limit)
 
 
-def phrase_stats(phrases: DataFrame, limit: int = 100) -> DataFrame:
-    """Number of listed phrases with the first of them and its count."""
-    return top_phrases(phrases, limit).agg(
+def phrase_stats(phrases: DataFrame) -> DataFrame:
+    """Number of all phrases with the most frequent one and its count."""
+    return phrases.agg(
         F.count(F.lit(1)).alias("n_phrases"),
         F.min_by("phrase", F.struct((-F.col("count")).alias("c"), "phrase")).alias("top_phrase"),
         F.max("count").alias("top_count"))

@@ -63,7 +63,7 @@ def ingest_batch(store: AuctionStore, records: DataFrame, batch: int, run_type:
         return {"status": "success", "fetched": counts["fetched"], "inserted": stats["inserted"],
                 "updated": stats["updated"], "errors": counts["errors"]}
     except Exception as error:
-        store.ledger.record(run_id, "FAILED", run_type, error_message=str(error)[:2000])
+        store.ledger.record(run_id, "FAILED", run_type, error_message=str(error))
         raise
 
 

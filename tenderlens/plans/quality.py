@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.operators.aggregates import avg_btc_by_type, pct_sum_check
-from tenderlens.operators.filters import out_of_bounds
-from tenderlens.operators.joins import auctions_with_security, bidder_facts, orphans
+from tenderlens.operators.filters import is_out_of_bounds
+from tenderlens.operators.joins import auctions_with_security, bidder_facts
 from tenderlens.operators.ranking import (last_updates, latest_completed, recent_btc_check,
                                           recent_tendered, top_indirect)
 from tenderlens.operators.reshape import concat, to_long
@@ -16,16 +16,11 @@ from tenderlens.operators.reshape import concat, to_long
 IMPORTANT = ["bid_to_cover_ratio", "total_accepted", "offering_amount", "auction_date"]
 
 
-def _long(row: DataFrame, check: str, keys: dict[str, str]) -> DataFrame:
-    """One-row figures as (check, key, value) rows."""
-    return row.select(*[F.col(c).cast("string").alias(k) for k, c in keys.items()]).unpivot(
-        [], list(keys), "key", "value").select(F.lit(check).alias("check"), "key", "value")
-
-
 def quality_report(auctions: DataFrame, securities: DataFrame, bidders: DataFrame, as_of) -> DataFrame:
     """Counts, orphans, missing values, bounds, status and coverage as (check, key, value).
 
-    Everything that concerns auctions alone comes from a single pass over that table.
+    Everything that concerns auctions alone comes from a single pass over that table; orphans and the
+    number of rows they are taken from come from one outer join per pair of tables.
     """
     btc, recent = F.col("bid_to_cover_ratio"), F.col("auction_date") >= F.date_sub(F.lit(as_of).cast("date"), 30)
     figures = auctions.agg(
@@ -33,28 +28,38 @@ def quality_report(auctions: DataFrame, securities: DataFrame, bidders: DataFram
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in IMPORTANT],
         F.count_if(btc.isNull()).alias("pending"), F.count_if(btc.isNotNull()).alias("results"),
         F.min("auction_date").alias("min_date"), F.max("auction_date").alias("max_date"),
-        F.count_if(recent).alias("last_30d"))
+        F.count_if(recent).alias("last_30d"), F.count_if(is_out_of_bounds()).alias("bounds"))
     split = {
         "rows": {"auctions": "rows"},
         "nulls": {c: f"null_{c}" for c in IMPORTANT},
         "status": {"PENDING": "pending", "RESULTS": "results"},
         "coverage": {"min_date": "min_date", "max_date": "max_date", "last_30d": "last_30d"},
+        "bounds": {"auctions": "bounds"},
     }
     entries = [F.struct(F.lit(check).alias("check"), F.lit(key).alias("key"),
                         F.col(column).cast("string").alias("value"))
                for check, keys in split.items() for key, column in keys.items()]
     auction_part = figures.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
-    def size(df: DataFrame, check: str, key: str) -> DataFrame:
-        return _long(df.agg(F.count(F.lit(1)).alias("n")), check, {key: "n"})
+    def matched(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+        """Rows of the parent and rows of the child without one, counted per key before they meet."""
+        sides = child.groupBy(key).agg(F.count(F.lit(1)).alias("children")).join(
+            parent.groupBy(key).agg(F.count(F.lit(1)).alias("parents")), key, "full")
+        return sides.agg(F.coalesce(F.sum("parents"), F.lit(0)).alias("parents"),
+                         F.coalesce(F.sum("children"), F.lit(0)).alias("children"),
+                         F.coalesce(F.sum(F.when(F.col("parents").isNull(), F.col("children"))), F.lit(0)).alias("orphans"))
+
+    by_cusip, by_auction = matched(auctions, securities, "cusip"), matched(bidders, auctions, "auction_id")
+
+    def figures_of(row: DataFrame, entries: list[tuple[str, str, str]]) -> DataFrame:
+        return row.select(F.explode(F.array(*[
+            F.struct(F.lit(check).alias("check"), F.lit(key).alias("key"), F.col(column).cast("string").alias("value"))
+            for check, key, column in entries])).alias("e")).select("e.*")
 
     return concat(
         auction_part,
-        size(securities, "rows", "securities"),
-        size(bidders, "rows", "bidder_details"),
-        size(orphans(auctions, securities, "cusip", ["auction_id", "cusip"]), "orphans", "auctions"),
-        size(orphans(bidders, auctions, "auction_id", ["auction_id"]), "orphans", "bidder_details"),
-        size(out_of_bounds(auctions), "bounds", "auctions"))
+        figures_of(by_cusip, [("rows", "securities", "parents"), ("orphans", "auctions", "orphans")]),
+        figures_of(by_auction, [("rows", "bidder_details", "children"), ("orphans", "bidder_details", "orphans")]))
 
 
 def consistency_report(auctions: DataFrame, bidders: DataFrame, n: int = 15) -> DataFrame:

@@ -7,9 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a side we are willing to broadcast once its size has been counted.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "tenderlens", master: str | None = None,
                   shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
@@ -55,26 +52,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core work when a file scan has fewer splits than cores.
-
-    Heavy per-row work on one small file would otherwise run in a single task. A large input has
-    more splits than cores and passes through untouched.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a reduced table and broadcast it only if its counted size allows.
-
-    A larger table is returned without the hint: the join then shuffles, and adaptive
-    execution splits skewed partitions.
-    """
-    table = materialise(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
-
-
 def scalars(df: DataFrame, *aggregates):
     """Whole-table double statistics as columns usable in any other DataFrame.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlens.operators.ordering import running_total
 from tenderlens.schemas import API_RECORD
 
 PAGE = T.StructType([
@@ -38,23 +39,22 @@ def read_auction_json(spark: SparkSession, path: str, multi_line: bool = True) -
     return with_arrival(raw)
 
 
-def flatten_pages(pages: DataFrame, max_records: int = 15_000) -> DataFrame:
+def flatten_pages(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """Records of consecutive pages up to the first stop condition, in page order.
 
-    Stops before a page without records and after the page that reaches the announced total or
-    ``max_records``. Only (page, size, total) runs through the ordered window: one short row per
-    page of a download, whose number ``max_records`` bounds.
+    Stops before a page without records and after the page that reaches the announced total or, if
+    the caller asks for one, ``max_records``. The running number of records is summed over slices of the
+    pages, so a download of any length is searched by many tasks; only the stopping page's number is
+    brought together.
     """
     size = F.coalesce(F.size("securityList"), F.lit(0))
     heads = pages.select("page", F.greatest(size, F.lit(0)).alias("n"), "totalResultsCount")
-    earlier = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    counted = heads.withColumn("fetched", F.sum("n").over(running))
-    complete = F.coalesce(F.col("fetched") >= F.col("totalResultsCount"), F.lit(False)) | (
-        F.col("fetched") >= max_records)
-    judged = counted.withColumn("complete", complete | (F.col("n") == 0))
-    stopped = F.coalesce(F.max(F.col("complete").cast("int")).over(earlier), F.lit(0))
-    kept = judged.withColumn("stopped", stopped).filter((F.col("stopped") == 0) & (F.col("n") > 0))
-    records = pages.select("page", F.posexplode("securityList").alias("place", "record"))
-    return records.join(kept.select("page"), "page").select(
-        "record.*", F.struct("page", "place").alias("arrival"))
+    fetched = F.col("before") + F.col("n")
+    complete = F.coalesce(fetched >= F.col("totalResultsCount"), F.lit(False))
+    if max_records is not None:
+        complete = complete | (fetched >= max_records)
+    judged = running_total(heads, ["page"], "n", "before").filter(complete | (F.col("n") == 0))
+    stop = judged.agg(F.min("page").alias("stop")).scalar()
+    records = pages.filter(stop.isNull() | (F.col("page") <= stop)).select(
+        "page", F.posexplode("securityList").alias("place", "record"))
+    return records.select("record.*", F.struct("page", "place").alias("arrival"))

@@ -30,8 +30,8 @@ def save_table(df: DataFrame, path: str, schema: T.StructType, partition_by: tup
     extra = [df.schema[c] for c in partition_by if c not in schema.fieldNames()]
     rows = conform(df, T.StructType([*schema.fields, *extra]))
     if partition_by:
-        # Spread each folder over several tasks, so that a crowded year is no single file.
-        rows = rows.repartition(*partition_by, F.pmod(F.xxhash64(*(sort_by or rows.columns[:1])), F.lit(16)))
+        # Adaptive execution cuts a crowded folder into tasks of its advisory size.
+        rows = rows.hint("rebalance", *partition_by)
     if sort_by:
         rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -65,6 +65,8 @@ class KeyedTable:
     def read(self, before: int | None = None) -> DataFrame | None:
         """Current rows, or those before a batch; None if nothing was ever written."""
         version, folded = self._version()
+        if before is not None and before <= folded:
+            raise ValueError(f"batches up to {folded} are folded; the state before {before} is gone")
         base = self._read(f"base/version={version}", self.schema) if version else None
         changes = self._read("changes", T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())]))
         if changes is not None:
@@ -78,7 +80,7 @@ class KeyedTable:
         return base.join(changes.select(*self.keys), self.keys, "left_anti").unionByName(changes)
 
     def compact(self, last_batch: int) -> None:
-        """Fold all batches up to ``last_batch`` into a new base."""
+        """Fold all batches up to ``last_batch``, none of which will be repeated, into a new base."""
         version, folded = self._version()
         if last_batch <= folded:
             return

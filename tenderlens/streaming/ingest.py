@@ -9,16 +9,15 @@ from tenderlens.plans.ingest import AuctionStore, ingest_batch
 from tenderlens.schemas import API_RECORD
 from tenderlens.sources.records import with_arrival
 
-COMPACT_EVERY = 50
-
 
 def stream_ingest(spark: SparkSession, source: str, store: AuctionStore, checkpoint: str,
                   multi_line: bool = True, max_files: int | None = None,
-                  compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+                  compact_every: int | None = None) -> StreamingQuery:
     """Process all files that have landed, then stop; run it on a timer for daily updates.
 
     Batch numbers come from the stream's checkpoint, so a batch repeated after a failure
-    overwrites its own change folders.
+    overwrites its own change folders. Tables are compacted on demand, or every ``compact_every``
+    batches; the newest batch, which may be repeated, is never folded.
     """
     reader = spark.readStream.schema(API_RECORD).option("multiLine", str(multi_line).lower())
     if max_files:
@@ -28,7 +27,7 @@ def stream_ingest(spark: SparkSession, source: str, store: AuctionStore, checkpo
         ingest_batch(store, with_arrival(records).drop("_metadata"), batch, run_type="INCREMENTAL")
         if compact_every and batch % compact_every == 0:
             for table in (store.securities, store.auctions, store.bidders):
-                table.compact(batch)
+                table.compact(batch - 1)
 
     # File metadata is only known to the reader, so it travels along as a column.
     return (reader.json(source).select("*", "_metadata").writeStream

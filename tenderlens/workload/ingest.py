@@ -259,6 +259,77 @@ def _(spark, sf):
     return merge.upsert_articles(None, _delivered_articles(spark, sf), "arrival")
 
 
+def _late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is stored already (even arrivals) and what comes as a correction (odd ones)."""
+    return rows.filter("arrival % 2 = 0"), rows.filter("arrival % 2 = 1")
+
+
+@query("upsert_articles_update", using("flagged", _ARTICLES.replace(
+    "ORDER BY CAST", "ORDER BY CAST(f.article_id AS BIGINT) % 2 DESC, CAST")))
+def _(spark, sf):
+    stored, late = _late(_delivered_articles(spark, sf))
+    return merge.upsert_articles(merge.upsert_articles(None, stored, "arrival"), late, "arrival")
+
+
+@query("upsert_bidders_update", _sql(_BIDDER_SQL.replace(
+    "ORDER BY arrival DESC", "ORDER BY arrival % 2 DESC, arrival DESC"), *_ALL[:3]))
+def _(spark, sf):
+    key = ["cusip", "auction_date"]
+    stored, late = _late(merge.bidders_from(_staged(spark, sf), "arrival"))
+    merged = merge.upsert(merge.latest_rows(stored, key, "arrival"), late, key, "arrival")
+    return _as_double(merged.select(*key, "primary_dealer_accepted", "fima_percentage"))
+
+
+_LATE_AUCTIONS = {
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY cusip, auction_date ORDER BY arrival % 2 DESC, arrival DESC) AS back,
+    min(arrival % 2) OVER (PARTITION BY cusip, auction_date) AS batch,
+    min(arrival) OVER (PARTITION BY cusip, auction_date) AS any_first,
+    min(CASE WHEN arrival % 2 = 0 THEN arrival END) OVER (PARTITION BY cusip, auction_date) AS stored_first
+    FROM judged WHERE to_auction""",
+    "renumbered": """SELECT *, row_number() OVER (ORDER BY batch, CASE WHEN batch = 0 THEN stored_first ELSE any_first END) AS auction_id
+    FROM ranked WHERE back = 1""",
+}
+
+
+@query("upsert_auctions_update", using("typed bidders", """SELECT auction_id, cusip, auction_date,
+    CAST(CAST(nullif(high_yield, '') AS DECIMAL(10,4)) AS DOUBLE) AS high_yield FROM renumbered""",
+    **{n: _RECORDS[n] for n in _ALL[:3]}, **_LATE_AUCTIONS))
+def _(spark, sf):
+    """Corrections keep the ids of stored auctions, new auctions are numbered after them."""
+    key = ["cusip", "auction_date"]
+    stored, late = _late(merge.auctions_from(_staged(spark, sf), "arrival"))
+    known = materialise(merge.with_auction_ids(stored, None))
+    arrived = merge.with_auction_ids(late, known).withColumn("arrival", F.lit(0))
+    return _as_double(merge.upsert(known, arrived, key, "arrival").select("auction_id", *key, "high_yield"))
+
+
+@query("upsert_stats_update", _sql("""SELECT CAST(count(*) FILTER (WHERE known = 0 AND late > 0) AS BIGINT) AS inserted,
+    CAST(sum(late) - count(*) FILTER (WHERE known = 0 AND late > 0) AS BIGINT) AS updated FROM (
+    SELECT count(*) FILTER (WHERE arrival % 2 = 0) AS known, count(*) FILTER (WHERE arrival % 2 = 1) AS late
+    FROM judged WHERE to_auction GROUP BY cusip, auction_date)""", *_ALL[:3]))
+def _(spark, sf):
+    stored, late = _late(merge.auctions_from(_staged(spark, sf), "arrival"))
+    return merge.upsert_stats(stored, late, ["cusip", "auction_date"])
+
+
+@query("load_stats", """WITH articles AS (SELECT doc_id AS k, doc_id % 700 AS id FROM documents),
+    valid AS (SELECT * FROM articles WHERE k % 9 <> 0 AND k % 7 <> 0),
+    ids AS (SELECT id, count(*) FILTER (WHERE k % 2 = 1) AS late, count(*) FILTER (WHERE k % 2 = 0) AS known FROM valid GROUP BY id),
+    days AS (SELECT count(DISTINCT (k % 250)) AS n FROM valid WHERE k % 2 = 1),
+    phrases AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)
+    SELECT 'fiscal_articles' AS "table", (SELECT count(*) FROM articles WHERE k % 2 = 1) - sum(late)::BIGINT AS skipped,
+        count(*) FILTER (WHERE late > 0 AND known = 0) AS inserted,
+        sum(late)::BIGINT - count(*) FILTER (WHERE late > 0 AND known = 0) AS updated FROM ids
+    UNION ALL SELECT 'fiscal_policy_indices', count(*) - least(count(*), any_value(n)), least(count(*), any_value(n)), 0
+        FROM orders, days
+    UNION ALL SELECT 'top_phrases', 0, count(*), (sum(n) - count(*))::BIGINT FROM phrases""")
+def _(spark, sf):
+    stored, late = _late(_delivered_articles(spark, sf))
+    scores = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("arrival"), F.lit(1.0).alias("rate"))
+    phrases = v.table(spark, sf, "part").select(F.col("p_type").alias("phrase"), F.col("p_partkey").alias("arrival"))
+    return merge.load_stats(late, scores, phrases, "arrival", known_articles=merge.valid_articles(stored, "arrival"))
+
+
 def _scores(spark, sf) -> DataFrame:
     """The daily index without its dates, in order."""
     index = v.index_daily(spark, sf)
@@ -329,10 +400,25 @@ def _(spark, sf):
     pages = orders.groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("securityList"))
     total = orders.agg(F.count(F.lit(1)).alias("n")).scalar()
-    flat = records.flatten_pages(pages.withColumn("totalResultsCount", total), max_records=10 ** 15)
+    flat = records.flatten_pages(pages.withColumn("totalResultsCount", total))
     return flat.select("o_orderkey", "o_custkey", F.col("arrival.page").alias("page"))
 
 
+@query("flatten_pages_stop", """SELECT page, count(*) AS n FROM (
+    SELECT floor(l_orderkey / 100)::BIGINT AS page FROM lineitem) WHERE page <= (
+    SELECT min(page) FROM (SELECT floor(l_orderkey / 100)::BIGINT AS page,
+        sum(count(*)) OVER (ORDER BY floor(l_orderkey / 100)::BIGINT) AS fetched FROM lineitem GROUP BY 1)
+    WHERE fetched >= (SELECT count(*) * 0.6 FROM lineitem)) GROUP BY page""")
+def _(spark, sf):
+    """The announced total is reached on the way; more records than one download used to be allowed."""
+    lines = v.table(spark, sf, "lineitem")
+    pages = lines.groupBy(F.floor(F.col("l_orderkey") / 100).alias("page")).agg(
+        F.collect_list(F.struct("l_orderkey", "l_linenumber")).alias("securityList"))
+    total = lines.agg(F.ceil(F.count(F.lit(1)) * F.lit(6) / 10).cast("bigint").alias("n")).scalar()
+    flat = records.flatten_pages(pages.withColumn("totalResultsCount", total))
+    return flat.groupBy(F.col("arrival.page").alias("page")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("read_auction_json", _sql("SELECT cusip, security_type, count(*) AS n FROM records GROUP BY ALL", "records"))
 def _(spark, sf):
     folder = scratch(spark)
@@ -341,6 +427,17 @@ def _(spark, sf):
     return read.groupBy("cusip", F.col("securityType").alias("security_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("read_auction_array", _sql("SELECT cusip, security_type, count(*) AS n FROM records GROUP BY ALL", "records"))
+def _(spark, sf):
+    """Sixteen or so files, each one JSON array."""
+    folder = scratch(spark)
+    rows = raw_records(spark, sf).withColumn("part", F.col("arrival") % 16).drop("arrival")
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*schemas.API_FIELDS))).alias("value"))
+    arrays.write.partitionBy("part").text(folder)
+    read = records.read_auction_json(spark, folder)
+    return read.groupBy("cusip", F.col("securityType").alias("security_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("typed_csv_round_trip", using("flagged", "SELECT article_id, date, is_fiscal_article, has_tariff FROM flagged"))
 def _(spark, sf):
     folder = scratch(spark)

@@ -66,7 +66,7 @@ def _(spark, sf):
         "auction_id", "fima_percentage", "soma_percentage")
 
 
-@query("available_columns")
+@query("available_columns", using("facts", "SELECT auction_id, bid_to_cover_ratio, fima_percentage FROM facts"))
 def _(spark, sf):
     facts = v.facts(spark, sf).withColumn("empty", F.lit(None).cast("double"))
     wanted = ["bid_to_cover_ratio", "empty", "no_such_column", "fima_percentage"]

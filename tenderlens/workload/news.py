@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderlens.functions import text as tx
+from tenderlens.functions.dictionary import COUNTRY_CATEGORY, TARIFF_CATEGORY, TERMS
 from tenderlens.operators import aggregates as agg
 from tenderlens.operators import articles as art
 from tenderlens.operators import correlation as corr
@@ -12,7 +13,6 @@ from tenderlens.operators import filters as flt
 from tenderlens.operators import phrases as ph
 from tenderlens.operators import policy_index as idx
 from tenderlens.operators import ranking, reshape, rolling, sections
-from tenderlens.session import spread
 from tenderlens.workload import views as v
 from tenderlens.workload.market import matrix_sql, r_sql
 from tenderlens.workload.registry import near, nears, query, rounded, settled
@@ -65,7 +65,7 @@ def _clean_tokens(docs):
 
 
 def _docs(spark, sf):
-    return spread(v.table(spark, sf, "documents"))
+    return v.table(spark, sf, "documents")
 
 
 # --- single steps ------------------------------------------------------------------------
@@ -111,6 +111,18 @@ def _(spark, sf):
         "doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+TEST_LEMMAS = {"the": "article", "of": "preposition", "thion": "thio", "les": "le", "des": "de", "was": "be"}
+_LEMMA = " ".join(f"WHEN token = '{word}' THEN '{base}'" for word, base in TEST_LEMMAS.items())
+
+
+@query("lemmatize_map", f"""SELECT token, CASE {_LEMMA} ELSE {_noun('token')} END AS base, count(*) AS n FROM (
+    SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY token""")
+def _(spark, sf):
+    words = _docs(spark, sf).select(F.explode(tx.normalize_tokens("text")).alias("token"))
+    counted = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("token", tx.lemmatize(F.array("token"), TEST_LEMMAS)[0].alias("base"), "n")
+
+
 @query("lemmatize", f"""SELECT token, {_noun('token')} AS base, count(*) AS n FROM (
     SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY token""")
 def _(spark, sf):
@@ -292,7 +304,7 @@ def _(spark, sf):
 
 
 @query("phrase_stats", _sql("""SELECT count(*) AS n_phrases, arg_min(phrase, (-"count", phrase)) AS top_phrase,
-    max("count") AS top_count FROM (SELECT * FROM counts ORDER BY "count" DESC, phrase LIMIT 100)""", _GRAMS))
+    max("count") AS top_count FROM counts""", _GRAMS))
 def _(spark, sf):
     return ranking.phrase_stats(_counts(spark, sf))
 
@@ -471,3 +483,32 @@ def _(spark, sf):
 def _(spark, sf):
     window = flt.date_window(v.daily(spark, sf), "date", "1997-01-01", "1998-12-31")
     return rounded(window.select("date", "fiscal_policy_index"), 8)
+
+
+# --- the default dictionary --------------------------------------------------------------
+
+# Real terms, planted in front of the invented prose of the documents.
+_PLANTED = ("U.S. tariffs rose again. ", "The U.S. budget deficits and taxes grew. ", "Trade policies changed. ", "")
+_PLANT = " ".join(f"WHEN {i} THEN '{words}'" for i, words in enumerate(_PLANTED))
+_DEFAULT = {
+    "documents_planted": f"SELECT doc_id, source, CASE doc_id % 4 {_PLANT} END || text AS text FROM documents",
+    "marked": _CLEAN["marked"].replace("FROM documents", "FROM documents_planted"),
+    "kept": _CLEAN["kept"], "clean": _CLEAN["clean"],
+    "terms": "SELECT category, array_to_string(list_transform(string_split(term, ' '), lambda t: " + _noun("t")
+             + "), ' ') AS term FROM (VALUES " + ", ".join(
+                 f"('{category}', '{term}')" for category, terms in TERMS.items() for term in terms) + ") AS t(category, term)",
+}
+
+
+@query("classify_default", _sql(f"""SELECT doc_id,
+    count(DISTINCT category) >= 2 AND coalesce(bool_or(category = '{COUNTRY_CATEGORY}'), FALSE) AS is_fiscal_article,
+    coalesce(bool_or(category = '{TARIFF_CATEGORY}'), FALSE) AS has_tariff
+    FROM (SELECT doc_id, array_to_string(tokens, ' ') AS cleaned FROM clean) LEFT JOIN terms ON contains(cleaned, term)
+    GROUP BY doc_id""", _DEFAULT))
+def _(spark, sf):
+    """The default dictionary in base form, on documents in which some of its terms are planted."""
+    k = F.col("doc_id") % 4
+    planted = F.when(k == 0, _PLANTED[0]).when(k == 1, _PLANTED[1]).when(k == 2, _PLANTED[2]).otherwise(_PLANTED[3])
+    docs = _docs(spark, sf).select("doc_id", F.concat(planted, F.col("text")).alias("text"))
+    cleaned = docs.select("doc_id", tx.clean_document("text", TEST_STOPWORDS).alias("text"))
+    return art.classify(cleaned, "text", art.lemmatize_dictionary(spark)).drop("text")

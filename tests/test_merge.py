@@ -185,6 +185,8 @@ def test_keyed_table_replay_and_compaction(spark, tmp_path):
     table.compact(1)
     table.compact(1)
     assert state() == {"a": 1, "b": 3, "c": 4}
+    with pytest.raises(ValueError):
+        table.read(before=1)
     put(2, ("a", 9), ("d", 5))
     assert state() == {"a": 9, "b": 3, "c": 4, "d": 5} and state(before=2) == {"a": 1, "b": 3, "c": 4}
     table.compact(2)
