@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions.measures import (correlation_direction, correlation_strength,
                                            pair_correlation, pair_count)
 from tenderlens.operators.filters import complete_cases
-from tenderlens.session import materialise, scalars
+from tenderlens.session import scalars
 
 
 def _long_pairs(df: DataFrame, group: list[str], pairs: list[tuple[str, str]],
@@ -102,9 +102,9 @@ def detect_anomalies(auctions: DataFrame, column: str = "bid_to_cover_ratio",
 def market_stress_index(weekly: DataFrame) -> DataFrame:
     """Mean of negated demand, yield and volatility z-scores over weeks."""
     sources = {"btc_zscore": "avg_btc", "yield_zscore": "avg_yield", "volatility_zscore": "std_btc"}
-    weekly = materialise(weekly)
-    moments = scalars(weekly, *[f(F.col(c)) for c in sources.values()
-                                for f in (F.avg, F.stddev_samp)])
+    # One row per week: a window over the weeks, so that the auctions are read once.
+    everything = Window.partitionBy(F.lit(1))
+    moments = [f(F.col(c)).over(everything) for c in sources.values() for f in (F.avg, F.stddev_samp)]
     scored = weekly.withColumns({
         name: F.try_divide(F.col(c) - moments[2 * i], moments[2 * i + 1])
         for i, (name, c) in enumerate(sources.items())

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlens.session import materialise, scalars
-
 # Rate column -> (article count behind it, index made of it).
 RATES = {
     "rate": ("fiscal_articles", "fiscal_policy_index"),
@@ -31,11 +29,12 @@ def daily_article_counts(articles: DataFrame) -> DataFrame:
 
 def normalized_index(daily: DataFrame) -> DataFrame:
     """Rates per article and indices whose mean over all days is 100."""
-    # One row per day: settled, so that the articles are not classified again for the means.
-    rated = materialise(daily).withColumns({
+    rated = daily.withColumns({
         rate: F.try_divide(F.col(count).cast("double"), F.col("total_articles").cast("double"))
         for rate, (count, _) in RATES.items()})
-    means = scalars(rated, *[F.avg(rate) for rate in RATES])
+    # One row per day, so its means come from a window over the days: articles are classified once.
+    everything = Window.partitionBy(F.lit(1))
+    means = [F.avg(rate).over(everything) for rate in RATES]
     return rated.withColumns({
         index: F.try_divide(F.col(rate), mean) * 100
         for mean, (rate, (_, index)) in zip(means, RATES.items())})
@@ -46,9 +45,9 @@ def normalized_index_v1(articles: DataFrame, digits: int = 4) -> DataFrame:
     daily = articles.dropna(subset=["date"]).groupBy("date").agg(
         F.coalesce(F.sum(F.col("is_fiscal_article").cast("bigint")), F.lit(0)).alias("is_fiscal_article"),
         F.count(F.lit(1)).alias("total_articles"))
-    rated = materialise(daily).withColumn(
+    rated = daily.withColumn(
         "rate", F.bround(F.col("is_fiscal_article").cast("double") / F.col("total_articles"), digits))
-    mean, = scalars(rated, F.avg("rate"))
+    mean = F.avg("rate").over(Window.partitionBy(F.lit(1)))
     return rated.withColumn(
         "fiscal_policy_index", F.bround(F.try_divide(F.col("rate"), mean) * 100, digits))
 

@@ -120,18 +120,18 @@ def _assemble(state: DataFrame) -> DataFrame:
         F.when(F.col("part.number").isNull(), F.struct("block", "line_no", "line"))))
     bodies = parts.groupBy("file", "part.role", "part.segment").agg(
         F.max("part.number").alias("number"),
-        F.transform(pieces, lambda p: p["line"]).alias("lines"))
-
-    def body(role: str, separator: str) -> DataFrame:
-        text = F.when(F.size("lines") > 0,
-                      F.concat(F.array_join("lines", separator), F.lit(separator))).otherwise("")
-        return bodies.filter((F.col("role") == role) & F.col("number").isNotNull()).select(
-            "file", "number", "segment", text.alias(role))
-
-    # Details left open into the next article end under its number; its own details come last.
-    details_text = body("details", "\n").groupBy("file", "number").agg(
-        F.max_by("details", "segment").alias("details"))
-    return body("article", " ").drop("segment").join(details_text, ["file", "number"], "left")
+        F.transform(pieces, lambda p: p["line"]).alias("lines")).filter("number IS NOT NULL")
+
+    def joined(separator: str) -> Column:
+        return F.when(F.size("lines") > 0, F.concat(F.array_join("lines", separator), F.lit(separator))).otherwise("")
+
+    text = F.when(F.col("role") == "article", joined(" ")).otherwise(joined("\n"))
+    # Both roles of an article meet in one grouping, so the text is read and gathered once. Details left
+    # open into the next article end under its number; its own details come last.
+    whole = bodies.groupBy("file", "number").agg(
+        *[F.max_by(F.when(F.col("role") == role, text), F.when(F.col("role") == role, F.col("segment"))).alias(role)
+          for role in ("article", "details")])
+    return whole.filter("article IS NOT NULL")
 
 
 def _last_value(details, pattern: str) -> Column:
