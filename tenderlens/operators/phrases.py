@@ -27,24 +27,25 @@ def _grams(tokens: Column, n: int) -> Column:
             F.array().cast("array<string>"))
 
 
-def border_grams(docs: DataFrame, order: list[str], tokens: str, longest: int = 3) -> DataFrame:
+def _edges(tokens: str, longest: int) -> Column:
+    """The first and last ``longest - 1`` tokens of a document with their places in it."""
+    words, reach = F.col(tokens), longest - 1
+    return F.filter(
+        F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))),
+        lambda e: (e["at"] < reach) | (e["at"] >= F.size(words) - reach))
+
+
+def border_grams(ends: DataFrame, order: list[str], longest: int = 3) -> DataFrame:
     """N-grams that start in one document and end in a later one of the same order.
 
-    Only the first and last ``longest - 1`` tokens of each document take part. Each gets its
-    place in the whole token stream, and neighbours meet by an equi-join on that place.
+    ``ends`` holds the order, the number of tokens (``_size``) and the outer tokens (``_edges``) of each
+    document. Each token gets its place in the whole token stream, and neighbours meet by an equi-join
+    on that place.
     """
-    reach = longest - 1
-    words = F.col(tokens)
-    size = F.size(words)
-    edges = F.filter(
-        F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))),
-        lambda e: (e["at"] < reach) | (e["at"] >= size - reach))
-    # Range partitioning samples its input, so the few tokens per document are settled first.
-    # Empty documents may stay: a filter here would be pushed down and clean every text twice.
-    ends = materialise(docs.select(*order, size.cast("bigint").alias("_size"), edges.alias("_edges")))
     placed = running_total(ends, order, "_size", "_start").select(
         F.col("_start").alias("doc"), "_start", F.explode("_edges").alias("e")
     ).select("doc", (F.col("_start") + F.col("e.at")).alias("place"), F.col("e.token").alias("token"))
+    placed = materialise(placed)  # read five times below
     grams, chain = [], placed.select(F.col("doc").alias("first"), "place", F.col("token").alias("phrase"))
     for step in range(1, longest):
         following = placed.select((F.col("place") - step).alias("place"),
@@ -65,12 +66,24 @@ def ngram_counts(docs: DataFrame, tokens: str, sizes: tuple[int, ...] = (1, 2, 3
     """
     letters = docs.select(*(stitch_order or []), letter_tokens(tokens).alias("_tokens"))
     grams = F.concat(*[_grams(F.col("_tokens"), n) for n in sizes])
-    phrases = letters.select(F.explode(grams).alias("phrase"))
-    if stitch_order and max(sizes) > 1:
-        borders = border_grams(letters, stitch_order, "_tokens", max(sizes))
-        spaces = F.size(F.split("phrase", " "))
-        phrases = phrases.unionAll(borders.filter(spaces.isin(*sizes)))
-    return phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("count"))
+    if not stitch_order or max(sizes) == 1:
+        return letters.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("count"))
+    # One pass over the texts gives both the phrases and the outer tokens of each document.
+    longest = max(sizes)
+    end = F.struct(*stitch_order, F.size("_tokens").cast("bigint").alias("_size"), _edges("_tokens", longest).alias("_edges"))
+    kind = letters.select(end.alias("end")).schema["end"].dataType
+    entries = F.concat(
+        F.transform(grams, lambda g: F.struct(g.alias("phrase"), F.lit(None).cast(kind).alias("end"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("phrase"), end.alias("end"))))
+    counted = materialise(letters.select(F.inline(entries)).groupBy("phrase", "end").agg(F.count(F.lit(1)).alias("count")))
+    # A document that occurs more than once is as many documents.
+    ends = counted.filter("phrase IS NULL").select(
+        "end.*", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_copy"))
+    borders = border_grams(ends, [*stitch_order, "_copy"], longest)
+    spaces = F.size(F.split("phrase", " "))
+    phrases = counted.filter("phrase IS NOT NULL").select("phrase", "count").unionAll(
+        borders.filter(spaces.isin(*sizes)).select("phrase", F.lit(1).cast("bigint").alias("count")))
+    return phrases.groupBy("phrase").agg(F.sum("count").alias("count"))
 
 
 def top_ngrams(counts: DataFrame, k: int = 500) -> DataFrame:
