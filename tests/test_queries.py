@@ -89,3 +89,6 @@ def test_texts_are_cleaned_once(spark):
     for name in ("clean_document", "ngram_counts", "top_ngrams", "count_terms_whole_word"):
         optimized = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert optimized.count(":, ;)") == 1, name
+    for name in ("ngram_counts_stitched", "top_ngrams_stitched"):  # cleaned once before, for the settled counts
+        optimized = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count(":, ;)") == 0, name
