@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.operators.aggregates import row_counts
@@ -88,9 +88,18 @@ class NewsStore:
 
 
 def verify_load(articles: DataFrame, indices: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Row counts of the three tables and the most frequent phrase."""
+    """Row counts of the three tables, the first article and day, and the most frequent phrase."""
     counts = row_counts({"fiscal_articles": articles, "fiscal_policy_indices": indices,
                          "top_phrases": phrases})
     top = top_phrases(phrases, 1).select(
         F.concat(F.lit("top phrase: "), "phrase").alias("table"), F.col("count").alias("rows"))
-    return counts.unionAll(top)
+
+    def sample(rows: DataFrame, name: str, order: str, *shown: Column) -> DataFrame:
+        return rows.orderBy(order).limit(1).select(
+            F.concat(F.lit(f"sample {name}: "), F.concat_ws(" ", *shown)).alias("table"), F.lit(1).cast("bigint").alias("rows"))
+
+    article = sample(articles, "article", "article_id", *[
+        F.col(c).cast("string") for c in ("article_id", "date", "is_fiscal_article", "has_tariff")])
+    index = sample(indices, "index", "date", F.col("date").cast("string"),
+                   F.concat_ws("/", F.col("fiscal_articles").cast("string"), F.col("total_articles").cast("string")))
+    return counts.unionAll(article).unionAll(index).unionAll(top)

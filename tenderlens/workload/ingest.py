@@ -372,6 +372,10 @@ def _(spark, sf):
 @query("verify_load", using("flagged article_days", """SELECT 'fiscal_articles' AS "table", count(*) AS "rows" FROM flagged
     UNION ALL SELECT 'fiscal_policy_indices', count(*) FROM article_days
     UNION ALL SELECT 'top_phrases', count(DISTINCT p_type) FROM part
+    UNION ALL (SELECT 'sample article: ' || article_id || ' ' || date || ' ' || is_fiscal_article || ' ' || has_tariff, 1
+        FROM flagged ORDER BY article_id LIMIT 1)
+    UNION ALL (SELECT 'sample index: ' || date || ' ' || fiscal_articles || '/' || total_articles, 1
+        FROM article_days ORDER BY date LIMIT 1)
     UNION ALL (SELECT 'top phrase: ' || p_type, n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)
         ORDER BY n DESC, p_type LIMIT 1)"""))
 def _(spark, sf):

@@ -77,11 +77,13 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(tx.strip_parentheses("text")).alias("digest"))
 
 
-@query("split_sentences", r"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, md5(s[1]) AS first_digest FROM (
+@query("split_sentences", r"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, md5(s[1]) AS first_digest,
+    md5(array_to_string(s, chr(2))) AS digest FROM (
     SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)""")
 def _(spark, sf):
     return _docs(spark, sf).withColumn("s", tx.split_sentences("text")).select(
-        "doc_id", F.size("s").alias("sentences"), F.md5(F.col("s")[0]).alias("first_digest"))
+        "doc_id", F.size("s").alias("sentences"), F.md5(F.col("s")[0]).alias("first_digest"),
+        F.md5(F.array_join("s", "\u0002")).alias("digest"))
 
 
 _HTML_COUNTRY = _COUNTRY.format(_ACCENTS.format("html"))

@@ -255,4 +255,5 @@ def test_news_store(spark, tmp_path):
     phrases = spark.createDataFrame([("tax", 3, 0), ("cut", 8, 1)], "phrase string, count long, arrival long")
     for batch in (0, 1):
         got = dict(map(tuple, store.load(articles, scores, phrases, batch).collect()))
-    assert got == {"fiscal_articles": 1, "fiscal_policy_indices": 1, "top_phrases": 2, "top phrase: cut": 8}
+    assert got == {"fiscal_articles": 1, "fiscal_policy_indices": 1, "top_phrases": 2, "top phrase: cut": 8,
+                   "sample article: 1 2024-01-02 true false": 1, "sample index: 2024-01-02 1": 1}
