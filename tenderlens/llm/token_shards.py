@@ -5,10 +5,10 @@ tokens are a sequence. A keyed Feistel permutation of the sequence numbers, walk
 the range, gives every sequence its global slot. Slots are cut into ranges, one shard each, in which
 sequence ``slot`` starts at byte (slot - first_slot) * stride, so a reader can go on at any slot.
 
-Pass one counts tokens per input partition and pass two places them, so no token is stored twice: the
+The tokens of each input partition are settled in the checkpoint folder, counted, and then placed: the
 only shuffle carries the pieces of sequences to their shards. Only one number per input partition
-reaches the driver. The order is that of the input's partitions and rows; give a scan or a checkpoint,
-whose partitions stay the same when a task runs again.
+reaches the driver. The order is that of the input's partitions and rows; once settled it stays, also
+when a task runs again.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.llm.registry import query, table
+from tenderlens.session import materialise
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 2048
 SEQUENCES_PER_SHARD = 4096
-_IRREGULAR = re.compile(r"\s \s|  |\s$")
+_IRREGULAR = re.compile(r" (?:\s|$)")
 _CACHE = 800_000
+_ROW_BYTES = 4 << 20
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -42,33 +45,31 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Tokens:
+class Tokens(dict):
     """uint16 tokens of a text. Words recur, so each distinct one is merged once and remembered.
 
-    A token never crosses the place before a single space, unless white space surrounds that space;
-    such texts are tokenised whole.
+    No token crosses the place before a space that a word follows, so a text falls apart there; the keys
+    are the words after a space. Other texts are tokenised whole.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
         self.coder = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHE:
+            self.clear()
+        tokens = self[word] = self.merged(" " + word)
+        return tokens
 
     def merged(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), np.uint16).tobytes()
+        return array("H", self.coder.encode_ordinary(text)).tobytes()
 
     def text(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
             return self.merged(text)
-        if len(self.seen) > _CACHE:
-            self.seen.clear()
-        seen, out = self.seen, []
         first, *rest = text.split(" ")
-        for word in (first, *[" " + w for w in rest]):
-            known = seen.get(word)
-            if known is None:
-                known = seen[word] = self.merged(word)
-            out.append(known)
-        return b"".join(out)
+        return self.merged(first) + b"".join(map(self.__getitem__, rest))
 
 
 def slots(numbers: np.ndarray, size: int, key: str, rounds: int = 4) -> np.ndarray:
@@ -108,16 +109,21 @@ def token_shards(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     texts = docs.select(F.col(text_col).alias("text"))
     stride = 2 * length
 
-    def tokenised(batches):
-        tokens = Tokens(shared.value)
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held, size = Tokens(shared.value), [], 0
         for batch in batches:
-            yield b"".join(tokens.text(t.as_py() or "") + end for t in batch.column(0))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(t) // 2 for t in tokenised(batches))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [total]})
-
-    totals = dict(texts.mapInArrow(count, "part long, n long").collect())
+            for text in batch.column(0):
+                held.append(tokens.text(text.as_py() or "") + end)
+                size += len(held[-1])
+                if size >= _ROW_BYTES:
+                    yield pa.RecordBatch.from_pydict({"data": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"data": [b"".join(held)]})
+
+    stream = materialise(texts.mapInArrow(tokenised, "data binary"))
+    totals = dict(stream.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.sum(F.length("data") / 2).cast("long").alias("n")).collect())
     starts, total = {}, 0
     for part in sorted(totals):
         starts[part] = total
@@ -127,7 +133,7 @@ def token_shards(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 2 * begin.value.get(TaskContext.get().partitionId(), 0)
-        for data in tokenised(batches):
+        for data in (row.as_py() for batch in batches for row in batch.column(0)):
             cuts = np.arange(at // stride * stride, at + len(data), stride)
             if len(cuts):
                 slot = slots(cuts // stride, size, key)
@@ -146,7 +152,7 @@ def token_shards(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
         return pd.DataFrame({"shard": [shard], "first_slot": [shard * per_shard], "n_sequences": [held],
                              "stride": [stride], "data": [data.tobytes()]})
 
-    pieces = texts.mapInArrow(place, "shard long, at long, piece binary")
+    pieces = stream.mapInArrow(place, "shard long, at long, piece binary")
     return pieces.groupBy("shard").applyInPandas(
         assemble, "shard long, first_slot long, n_sequences long, stride long, data binary")
 
