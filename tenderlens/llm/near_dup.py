@@ -9,13 +9,15 @@ sizes; with more than d blocks in the sketch, some blocks must be equal. Per siz
    fall in it; its fingerprint XORs their 64-bit hashes). A document emits under its own band and the
    next, because a partner may be that much larger. One block more than needed is used, so that empty
    blocks, which all documents would share, can be left out unless a document has several;
-2. sets with an equal block are chained to the first of them; what hangs together is a family. Links
-   exist only within families;
-3. in each family the dense sketches rule out most pairs by Hamming distance, the rest is verified on
-   the sets. Pairs already connected are passed over, so a group of near copies costs a row each, not
-   a pair each. Large families are cut into pairs of chunks, which different tasks verify.
+2. sets with an equal block meet at the first of them, once however many blocks they share. There the
+   dense sketches rule out, by Hamming distance, pairs that only have a passage in common. What hangs
+   together by the others is a family; links exist only within families;
+3. in each family pairs are verified on the sets.
 
-Equal sets are merged before step 1. Shingles and sets are identified by 64-bit hashes.
+In steps 2 and 3 pairs already connected are passed over, so a group of near copies costs a row each, not
+a pair each. Large groups are cut into pairs of chunks, which different tasks take.
+
+Equal sets are merged before step 2. Shingles and sets are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from tenderlens.session import materialise
 CHUNK = 500                     # sets of a family verified at once
 _KEYS_PER_GROUP = 1_500_000
 _BYTES_PER_GROUP = 16 << 20
-_SKETCH_BITS = 2048
+_LEAST_BITS = 1024
 
 
 class WordHashes(dict):
@@ -124,22 +126,24 @@ def _chained(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame:
-    """(kind, a, b, c): kind 1 is a document (id, size, set), kind 0 an edge between sets (set, set, 0)."""
-    fields = pa.schema([("part", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    """(kind, a, b, c, sketch): kind 1 is a document (id, size, set) with its dense sketch, kind 0 an edge
+    between two sets with an equal block (set, set, 0)."""
+    names = ("a", "b", "c", "d")
+    fields = pa.schema([("part", pa.int64()), ("kind", pa.int8()), *[(name, pa.binary()) for name in names]])
 
     def rows(part, kind, *arrays):
-        empty = [np.empty(0, np.int64)] * (3 - len(arrays))
-        return {"part": int(part), "kind": kind, **dict(zip("abc", [x.tobytes() for x in (*arrays, *empty)]))}
+        return {"part": int(part), "kind": kind, **dict.fromkeys(names), **dict(zip(names, [x.tobytes() for x in arrays]))}
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tops = WordHashes(), bands(percent)
         for number, batch in enumerate(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes, sets, keys, owners, done = [], [], [], [], set()
+            sizes, sets, keys, owners, dense, done = [], [], [], [], [], set()
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width, hashes)
                 sizes.append(len(shingles))
                 sets.append(set_id(shingles))
+                dense.append(bit_sketch(shingles))
                 if len(shingles) and sets[-1] not in done:
                     done.add(sets[-1])
                     own = block_keys(shingles, percent, tops)
@@ -147,7 +151,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame
                     owners.append(np.full(len(own), sets[-1], np.int64))
             sets = np.array(sets, np.int64)
             place = int(mixed(sets[:1].astype(np.uint64), 1)[0] % np.uint64(groups)) if len(sets) else 0
-            out = [rows(-1 - place, 1, ids, np.array(sizes, np.int64), sets)] if len(ids) else []
+            out = [rows(-1 - place, 1, ids, np.array(sizes, np.int64), sets, np.concatenate(dense))] if len(ids) else []
             if keys:
                 key, owner, left, right = _chained(np.concatenate(keys), np.concatenate(owners))
                 if len(left):
@@ -155,26 +159,32 @@ def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame
                 part = (key % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 for p, own in zip(*_runs(part[order], order)):
-                    out.append(rows(p, 2, key[own], owner[own]))
+                    own = own[np.argsort(owner[own], kind="stable")]
+                    held, times = np.unique(owner[own], return_counts=True)
+                    out.append(rows(p, 2, held, times.astype(np.uint32), key[own]))
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, a, b, c in zip(frame["kind"], frame["a"], frame["b"], frame["c"]):
-            if kind < 2:
-                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                c = np.frombuffer(c, np.int64) if kind else np.zeros(len(a), np.int64)
-                out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "c": c}))
-        keyed = frame[frame["kind"] == 2]
-        if len(keyed):
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in keyed["a"]])
-            sets = np.concatenate([np.frombuffer(x, np.int64) for x in keyed["b"]])
-            _, _, left, right = _chained(keys, sets)
-            out.append(pd.DataFrame({"kind": 0, "a": left, "b": right, "c": 0}))
-        return pd.concat(out).astype({"kind": "int8"}) if out else frame.iloc[:0]
-
-    packed = docs.mapInArrow(sketch, "part long, kind byte, a binary, b binary, c binary")
-    return packed.groupBy("part").applyInPandas(match, "kind byte, a long, b long, c long")
+        out, keys, sets = [], [], []
+        for kind, a, b, c, d in zip(*(frame[name] for name in ("kind", *names))):
+            a = np.frombuffer(a, np.int64)
+            if kind == 2:
+                sets.append(np.repeat(a, np.frombuffer(b, np.uint32)))
+                keys.append(np.frombuffer(c, np.uint64))
+                continue
+            b, sketches = np.frombuffer(b, np.int64), None
+            if kind:
+                ends = np.cumsum([sketch_bits(n) // 8 for n in b.tolist()]).tolist()
+                sketches = [d[start:end] for start, end in zip([0, *ends], ends)]
+            out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "c": np.frombuffer(c, np.int64) if kind else 0,
+                                     "sketch": sketches}))
+        if keys:
+            _, _, left, right = _chained(np.concatenate(keys), np.concatenate(sets))
+            out.append(pd.DataFrame({"kind": 0, "a": left, "b": right, "c": 0, "sketch": None}))
+        return pd.concat(out).astype({"kind": "int8"})
+
+    packed = docs.mapInArrow(sketch, "part long, kind byte, a binary, b binary, c binary, d binary")
+    return packed.groupBy("part").applyInPandas(match, "kind byte, a long, b long, c long, sketch binary")
 
 
 def _runs(sorted_keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -182,77 +192,134 @@ def _runs(sorted_keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[
     return sorted_keys[starts], np.split(order, starts[1:])
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    at = (mixed(shingles, 13) % np.uint64(_SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=_SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
-
+def sketch_bits(size: int) -> int:
+    """Bits of a dense sketch: a power of two, twice the size of the set or more."""
+    return max(_LEAST_BITS, 1 << max(0, 2 * size - 1).bit_length())
 
-def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a family's chunk (all on side 0) or pair of chunks.
 
-    Of a pair of chunks only links across are looked for; the chunks themselves are units of their own.
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Dense parity sketch; XORing its halves gives the sketch of half as many bits."""
+    bits = sketch_bits(len(shingles))
+    at = (mixed(shingles, 13) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class Distances:
+    """Hamming distances of sketches of different lengths, compared at the shorter length."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.words = np.array([len(s) for s in sketches], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for words in np.unique(self.words).tolist():
+            # Linked sets differ by less than a factor of two, so no sketch is folded more than once.
+            members = np.flatnonzero((self.words == words) | (self.words == 2 * words))
+            place = np.full(len(sketches), -1, np.int64)
+            place[members] = np.arange(len(members))
+            self.at[words] = place
+            self.rows[words] = np.stack([
+                s if len(s) == words else s[:words] ^ s[words:] for s in (sketches[m] for m in members)])
+
+    def of(self, one: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), np.int64)
+        shorter = np.minimum(self.words[others], self.words[one])
+        for words in np.unique(shorter).tolist():
+            here = shorter == words
+            place, rows = self.at[words], self.rows[words]
+            out[here] = np.bitwise_count(rows[place[others[here]]] ^ rows[place[one]]).sum(axis=1)
+        return out
+
+
+def links_within(ids: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], percent: int,
+                 sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a chunk (all on side 0) or of a pair of chunks.
+
+    Without ``sets`` every pair within the Hamming distance counts as linked. Of a pair of chunks only links
+    across are looked for; the chunks themselves are units of their own.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    sketches = np.stack([bit_sketch(s) for s in sets])
-    group, out = np.arange(len(sets)), []
+    group, out, distances = np.arange(len(ids)), [], Distances(sketches)
     across = bool(sides.any())
-    for i in range(len(sets)):
+    for i in range(len(ids)):
         if across and sides[i]:
             continue
-        rest = sides.astype(bool) if across else np.arange(len(sets)) > i
+        rest = sides.astype(bool) if across else np.arange(len(ids)) > i
         small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        rest &= (group != group[i]) & (100 * small >= percent * large)
-        at = np.flatnonzero(rest)
+        at = np.flatnonzero(rest & (group != group[i]) & (100 * small >= percent * large))
         if not len(at):
             continue
-        distance = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1)
-        at = at[distance <= (100 - percent) * (sizes[at] + sizes[i]) // (100 + percent)]
+        at = at[distances.of(i, at) <= (100 - percent) * (sizes[at] + sizes[i]) // (100 + percent)]
         for j in at:
             if group[j] == group[i]:
                 continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
-                out.append((int(ids[i]), int(ids[j])))
-                group[group == group[j]] = group[i]
+            if sets is not None:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared < percent * (sizes[i] + sizes[j] - shared):
+                    continue
+            out.append((int(ids[i]), int(ids[j])))
+            group[group == group[j]] = group[i]
     return out
 
 
-def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
-    """Edges (a, b) between sets of one family that reach the similarity."""
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            ids, families, chunks, found = [], [], [], []
-            for text, wanted, family, n in zip(*(batch.column(k) for k in ("text", "set", "family", "chunks"))):
-                shingles = shingle_set(text.as_py(), width, hashes)
-                if set_id(shingles) == wanted.as_py():  # an id may carry several texts
-                    ids.append(wanted.as_py())
-                    families.append(family.as_py())
-                    chunks.append(n.as_py())
-                    found.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(families, pa.int64()), pa.array(chunks, pa.int64()), pa.array(found, pa.binary())],
-                ["set", "family", "chunks", "shingles"])
+def _linked(members: DataFrame, data: str, units: float, percent: int) -> DataFrame:
+    """Edges (a, b) within each family of ``members`` (set, family, chunks, n, ``data``).
+
+    ``data`` is ``sketch`` or ``shingles``. Every pair of a family's chunks is a unit; units are dealt to so many
+    groups that each has about as many bytes.
+    """
+    exact = data == "shingles"
 
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, unit in frame.groupby(["family", "i", "j"], sort=False):
             unit = unit.drop_duplicates("set").sort_values("set")
-            sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"]]
-            sides = (unit["own"] != unit["i"]).to_numpy()
-            out += links_within(unit["set"].to_numpy(), sides, sets, percent)
+            sets = [np.frombuffer(s, np.uint64) for s in unit[data]]
+            out += links_within(
+                unit["set"].to_numpy(), (unit["own"] != unit["i"]).to_numpy(), unit["n"].to_numpy(),
+                [bit_sketch(s) if exact else s for s in sets], percent, sets if exact else None)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    chosen = docs.join(members, "doc_id").select("text", "set", "family", "chunks")
-    sets = materialise(chosen.mapInArrow(units, "set long, family long, chunks long, shingles binary"))
-    amount = sets.agg(F.sum(F.length("shingles") * F.col("chunks"))).first()[0] or 0
-    groups = groups_for(amount, _BYTES_PER_GROUP)
-    own = F.pmod(F.xxhash64("set"), F.col("chunks"))
-    placed = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("set", "family", "own", "shingles",
+    placed = members.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("set", "family", "own", "n", data,
                            F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = placed.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups)))
-    return placed.groupBy("g").applyInPandas(verify, "a long, b long")
+    placed = placed.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups_for(units, _BYTES_PER_GROUP))))
+    return placed.groupBy("g").applyInPandas(link, "a long, b long")
+
+
+def _with_chunks(members: DataFrame, chunk: int) -> DataFrame:
+    """Add ``chunks``, the number of chunks of each member's family."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("bigint").alias("chunks"))
+    return members.join(sizes, "family")
+
+
+def _families(edges: DataFrame, sketches: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(set, family) of sets that hang together by pairs within the Hamming distance."""
+    star = edges.filter("a <> b").distinct()
+    meeting = star.select(F.col("a").alias("family"), F.col("b").alias("set")).unionByName(
+        star.select(F.col("a").alias("family"), F.col("a").alias("set")).distinct())
+    meeting = materialise(_with_chunks(meeting, chunk))
+    usual = sketches.agg(F.avg(F.length("sketch"))).first()[0] or 0
+    units = (meeting.agg(F.sum("chunks")).first()[0] or 0) * (usual + 64)
+    near = _linked(meeting.join(sketches, "set"), "sketch", units, percent)
+    roots = connected_components(near)
+    return roots.select(F.col("node").alias("set"), F.col("root").alias("family"))
+
+
+def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of one family that reach the similarity."""
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingle_set(text.as_py(), width, hashes) for text in batch.column("text")]
+            # An id may carry several texts.
+            right = [set_id(s) == wanted for s, wanted in zip(found, batch.column("set").to_pylist())]
+            out = batch.drop_columns(["text"]).append_column("shingles", pa.array([s.tobytes() for s in found], pa.binary()))
+            yield out.filter(pa.array(right, pa.bool_()))
+
+    chosen = docs.join(members, "doc_id").select("text", "set", "family", "chunks", "n")
+    sets = chosen.mapInArrow(shingles, "set long, family long, chunks long, n long, shingles binary")
+    units = members.agg(F.sum(F.col("n") * 8 * F.col("chunks"))).first()[0] or 0
+    return _linked(sets, "shingles", units, percent)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -265,18 +332,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts. A null id is no document to point at: its component is null and it links nothing. An empty
     table gives no rows. Only the id and the text are read.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("the similarity must be above 50 percent")
     every = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     known = every.filter("doc_id IS NOT NULL")
     letters = known.agg(F.sum(F.length("text"))).first()[0] or 0
     emitted = letters / 6 * 4 * (100 - percent) / (100 + percent)
     found = materialise(_sketch(known, width, percent, groups_for(emitted, _KEYS_PER_GROUP)))
     nodes = found.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("set"))
-    families = connected_components(found.filter("kind = 0").select("a", "b"))
-    families = materialise(families.select(F.col("node").alias("set"), F.col("root").alias("family")))
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("bigint").alias("chunks"))
-    first = nodes.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    members = families.join(sizes, "family").join(first, "set")
-    links = _verified(known, members, width, percent, chunk)
+    sketches = found.filter("kind = 1 AND b > 0").select(F.col("c").alias("set"), F.col("b").alias("n"), "sketch").dropDuplicates(["set"])
+    families = _families(found.filter("kind = 0").select("a", "b"), sketches, percent, chunk)
+    first = nodes.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    members = materialise(_with_chunks(families, chunk).join(first, "set"))
+    links = _verified(known, members, width, percent)
     # A document with several texts ties their sets together, and so does a link.
     ties = nodes.filter("n_shingles > 0").groupBy("doc_id").agg(
         F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b")
@@ -310,6 +378,28 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
-@query("op8_parity_join")
+_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')) END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * k >= 90 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+lowest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.x = d.doc_id
+"""
+
+
+@query("op8_parity_join", _SQL)
 def op8_parity_join(spark, sf_dir):
     return similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)

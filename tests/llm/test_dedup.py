@@ -113,8 +113,18 @@ def test_symmetric_difference_bound():
     for _ in range(200):
         a = np.unique(draw.integers(0, 1 << 60, 150).astype(np.uint64))
         b = np.unique(np.concatenate([a[draw.integers(0, 40):], draw.integers(0, 1 << 60, draw.integers(1, 40)).astype(np.uint64)]))
-        distance = int(np.bitwise_count(near_dup.bit_sketch(a) ^ near_dup.bit_sketch(b)).sum())
-        assert distance <= len(np.setxor1d(a, b))
+        assert near_dup.Distances([near_dup.bit_sketch(a), near_dup.bit_sketch(b)]).of(0, np.array([1]))[0] <= len(np.setxor1d(a, b))
+
+
+def test_sketches_of_different_lengths():
+    draw = np.random.default_rng(2)
+    a = np.unique(draw.integers(0, 1 << 60, 600).astype(np.uint64))
+    b = a[:500]
+    short, long = near_dup.bit_sketch(b), near_dup.bit_sketch(a)
+    assert len(long) == 2 * len(short)
+    distances = near_dup.Distances([short, long, short])
+    assert 60 < distances.of(0, np.array([1, 2]))[0] <= 100 and distances.of(0, np.array([1, 2]))[1] == 0
+    assert distances.of(1, np.array([0]))[0] == distances.of(0, np.array([1]))[0]
 
 
 def test_components(spark):
