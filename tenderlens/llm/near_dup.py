@@ -7,11 +7,12 @@ sizes; with more than d blocks in the sketch, some blocks must be equal. Per siz
 
 1. every distinct set emits the fingerprints of its blocks (a block is the parity of the shingles that
    fall in it; its fingerprint XORs their 64-bit hashes). A document emits under its own band and the
-   next, because a partner may be that much larger. One block more than needed is used, so that empty
-   blocks, which all documents would share, can be left out unless a document has several;
-2. sets with an equal block meet at the first of them, once however many blocks they share. There the
-   dense sketches rule out, by Hamming distance, pairs that only have a passage in common. What hangs
-   together by the others is a family; links exist only within families;
+   next, because a partner may be that much larger. A few blocks more than needed are used, so that a
+   document nearly always fills more blocks than it can differ in and its empty blocks, which all
+   documents would share, can be left out;
+2. all sets with an equal block, from whatever batch or task, meet at the first of them all, once however
+   many blocks they share. There the dense sketches rule out, by Hamming distance, pairs that only have a
+   passage in common. What hangs together by the others is a family; links exist only within families;
 3. in each family pairs are verified on the sets.
 
 In steps 2 and 3 pairs already connected are passed over, so a group of near copies costs a row each, not
@@ -96,15 +97,17 @@ def block_keys(shingles: np.ndarray, percent: int, tops: np.ndarray) -> np.ndarr
     band = int(np.searchsorted(tops, len(shingles)))
     keys = []
     for scheme in (band, band + 1):
-        differ = most_different(2 * int(tops[scheme]), percent)
+        top = int(tops[scheme])
+        differ = most_different(2 * top, percent)
         if not differ:
             continue  # only equal sets link
-        blocks = differ + 2
+        blocks = differ + 2 + differ // 32
         block = (mixed(shingles, 101 + scheme) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         filled, starts = np.unique(block[order], return_index=True)
         parity = np.bitwise_xor.reduceat(mixed(shingles, 7)[order], starts)
-        if blocks - len(filled) > 1:
+        # With more filled blocks than differences to any partner, one that is filled must be equal.
+        if len(filled) <= most_different(len(shingles) + min(top, len(shingles) * 100 // percent), percent):
             every = np.zeros(blocks, np.uint64)
             every[filled] = parity
             filled, parity = np.arange(blocks), every
@@ -112,17 +115,23 @@ def block_keys(shingles: np.ndarray, percent: int, tops: np.ndarray) -> np.ndarr
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def _chained(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First set of every key, and an edge from it to each other set of that key."""
+def _stars(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from the first set of every key to each other set of that key."""
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
-    first = np.empty(len(keys), bool)
-    first[:1] = True
-    first[1:] = keys[1:] != keys[:-1]
-    leader = sets[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else sets
-    linked = leader != sets
-    edges = np.unique(np.stack([leader[linked], sets[linked]], axis=1), axis=0)
-    return keys[first], sets[first], edges[:, 0], edges[:, 1]
+    first = np.flatnonzero(_changes(keys))
+    leader = np.repeat(sets[first], np.diff(first, append=len(keys)))
+    leader, sets = leader[leader != sets], sets[leader != sets]
+    order = np.lexsort((sets, leader))
+    leader, sets = leader[order], sets[order]
+    once = _changes(leader) | _changes(sets)
+    return leader[once], sets[once]
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
 
 
 def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame:
@@ -153,9 +162,8 @@ def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame
             place = int(mixed(sets[:1].astype(np.uint64), 1)[0] % np.uint64(groups)) if len(sets) else 0
             out = [rows(-1 - place, 1, ids, np.array(sizes, np.int64), sets, np.concatenate(dense))] if len(ids) else []
             if keys:
-                key, owner, left, right = _chained(np.concatenate(keys), np.concatenate(owners))
-                if len(left):
-                    out.append(rows(-1 - place, 0, left, right))
+                # Every pair goes to its key's group: which set comes first is known only there.
+                key, owner = np.concatenate(keys), np.concatenate(owners)
                 part = (key % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 for p, own in zip(*_runs(part[order], order)):
@@ -172,14 +180,12 @@ def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame
                 sets.append(np.repeat(a, np.frombuffer(b, np.uint32)))
                 keys.append(np.frombuffer(c, np.uint64))
                 continue
-            b, sketches = np.frombuffer(b, np.int64), None
-            if kind:
-                ends = np.cumsum([sketch_bits(n) // 8 for n in b.tolist()]).tolist()
-                sketches = [d[start:end] for start, end in zip([0, *ends], ends)]
-            out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "c": np.frombuffer(c, np.int64) if kind else 0,
-                                     "sketch": sketches}))
+            b = np.frombuffer(b, np.int64)
+            ends = np.cumsum([sketch_bits(n) // 8 for n in b.tolist()]).tolist()
+            sketches = [d[start:end] for start, end in zip([0, *ends], ends)]
+            out.append(pd.DataFrame({"kind": kind, "a": a, "b": b, "c": np.frombuffer(c, np.int64), "sketch": sketches}))
         if keys:
-            _, _, left, right = _chained(np.concatenate(keys), np.concatenate(sets))
+            left, right = _stars(np.concatenate(keys), np.concatenate(sets))
             out.append(pd.DataFrame({"kind": 0, "a": left, "b": right, "c": 0, "sketch": None}))
         return pd.concat(out).astype({"kind": "int8"})
 

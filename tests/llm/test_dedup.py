@@ -94,6 +94,70 @@ def test_similar_groups(spark, width, percent, chunk):
     assert got == brute_groups(rows, width, percent)
 
 
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    yield
+    spark.conf.set(name, before)
+
+
+def spread_copies(seed):
+    """An original and pairs of variants; most are near their twin only, which lies in another batch."""
+    draw = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for pair in range(90):
+        edited = list(base)
+        for at in draw.sample(range(150), draw.choice([1, 6, 12, 14])):
+            edited[at] = f"p{pair}x{at}"
+        for twin in range(2):
+            words = list(edited)
+            words[draw.randrange(150)] = f"t{twin}"
+            rows.append((1 + pair + 90 * twin, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_copies_meet_across_batches(spark, small_batches, width, percent):
+    rows = spread_copies(width)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, width=width, percent=percent).collect()}
+    assert got == brute_groups(rows, width, percent)
+
+
+def test_all_sets_of_a_block_meet(spark, small_batches):
+    """Every two sets with an equal block stand in one star, whatever batches they came in."""
+    rows, tops, hashes = spread_copies(1), near_dup.bands(80), near_dup.WordHashes()
+    docs = spark.createDataFrame([(i, text.encode()) for i, text in rows], "doc_id long, text binary").repartition(12)
+    stars, by_key = defaultdict(set), defaultdict(set)
+    for r in near_dup._sketch(docs, 5, 80, 3).filter("kind = 0").collect():
+        stars[r.a].add(r.a)
+        stars[r.b].add(r.a)
+    for _, text in rows:
+        shingles = near_dup.shingle_set(text.encode(), 5, hashes)
+        for key in near_dup.block_keys(shingles, 80, tops).tolist():
+            by_key[key].add(near_dup.set_id(shingles))
+    shared = [sets for sets in by_key.values() if len(sets) > 1]
+    assert max(map(len, shared)) > 50
+    assert all(set.intersection(*(stars[x] for x in sets)) for sets in shared)
+
+
+def test_blocks_meet_without_the_empty_ones():
+    draw = np.random.default_rng(3)
+    for percent in (80, 90):
+        tops = near_dup.bands(percent)
+        for _ in range(400):
+            size = int(draw.integers(5, 1200))
+            a = np.unique(draw.integers(0, 1 << 60, size).astype(np.uint64))
+            away = int(draw.integers(0, near_dup.most_different(2 * size, percent) // 2 + 1))
+            b = np.unique(np.concatenate([a[away:], draw.integers(0, 1 << 60, int(draw.integers(0, away + 1))).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= percent * len(np.union1d(a, b)) and len(a) != shared:
+                assert len(np.intersect1d(near_dup.block_keys(a, percent, tops), near_dup.block_keys(b, percent, tops)))
+
+
 def test_similar_groups_of_odd_rows(odd_docs, no_docs):
     got = similar_groups(odd_docs).collect()
     assert len(got) == odd_docs.count()
