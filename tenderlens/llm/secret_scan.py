@@ -3,8 +3,8 @@
 Patterns find labelled credentials (assignments, access keys, hex digests). From a bounded sample of
 each kind a probabilistic automaton is inferred: a prefix tree of the values whose states are merged
 where their outgoing frequencies do not differ significantly (Hoeffding bound), which generalises the
-values to a format. Another automaton is inferred from ordinary long tokens. Every candidate token of
-every text is then scored: how much likelier is it under the best credential format than under the
+values to a format. Ordinary long tokens are described by how often a class of characters follows another,
+counted over all candidates but those in a credential format. Every candidate token of every text is then scored: how much likelier is it under the best credential format than under the
 ordinary one? Those beyond a threshold are added to what the patterns found.
 """
 
@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,8 +164,52 @@ def format_score(grammars: dict[str, list[dict]], value: str) -> float:
     return credential - max(ordinary, len(value) * _ANY)
 
 
+def chain(counts: dict[tuple[str, str], int]) -> list[dict]:
+    """Automaton with a state for each symbol before, from (symbol before, symbol) -> count.
+
+    "" stands for the start and the end. Every step counts once more than seen, so none is impossible.
+    """
+    symbols = [*_CLASSES, *"+/_=-"]
+    out = []
+    for before in ("", *symbols):
+        row = {s: counts.get((before, s), 0) + 1 for s in ("", *symbols)}
+        whole = sum(row.values())
+        out.append({s: (symbols.index(s) + 1 if s else -1, math.log(n / whole)) for s, n in row.items()})
+    return out
+
+
+def ordinary_grammar(docs: DataFrame, grammars: dict[str, list[dict]], text_col: str = "text",
+                     min_score: float = MIN_SCORE) -> list[dict] | None:
+    """Steps of all candidates but those that a credential grammar tells from random characters.
+
+    However often an unlabelled credential of a known format occurs, its format does not become ordinary.
+    None if there are no other candidates.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(grammars)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grammars, counts, steps = shared.value, Counter(), {}
+        for frame in batches:
+            for text in frame["text"]:
+                for _, _, value in candidates(text, base_spans(text)):
+                    own = steps.get(value)
+                    if own is None:
+                        if len(steps) > 100_000:
+                            steps.clear()
+                        symbols = ["", *(_CLASS_OF.get(c, c) for c in value), ""]
+                        accepted = format_score(grammars, value) >= min_score
+                        own = steps[value] = () if accepted else tuple(zip(symbols, symbols[1:]))
+                    counts.update(own)
+        yield pd.DataFrame([(*step, n) for step, n in counts.items()], columns=["before", "symbol", "n"])
+
+    found = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(count, "before string, symbol string, n long")
+    rows = found.groupBy("before", "symbol").agg(F.sum("n").alias("n")).collect()
+    return chain({(r["before"], r["symbol"]): r["n"] for r in rows}) if rows else None
+
+
 def learn_grammars(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN) -> dict[str, list[dict]]:
-    """Grammars by kind from the ``max_train`` distinct values of each kind with the smallest hash.
+    """Grammars by kind from the ``max_train`` distinct labelled values of each kind with the smallest hash,
+    and the ordinary one from all other tokens.
 
     Every task reads all its texts and sends on no more than that many values a kind.
     """
@@ -174,32 +219,30 @@ def learn_grammars(docs: DataFrame, text_col: str = "text", max_train: int = MAX
 
         def offer(kind: str, value: str) -> None:
             heap = kept.setdefault(kind, [])
-            rank = -xxhash.xxh3_64_intdigest(value.encode())
+            rank = -(xxhash.xxh3_64_intdigest(value.encode()) >> 1)
             if (len(heap) < max_train or rank > heap[0][0]) and (kind, value) not in known:
                 known.add((kind, value))
                 (heapq.heappush if len(heap) < max_train else heapq.heappushpop)(heap, (rank, value))
 
         for frame in batches:
             for text in frame["text"]:
-                spans = base_spans(text)
-                for _, kind, _, value in spans:
+                for _, kind, _, value in base_spans(text):
                     offer(KINDS[kind], value)
-                for _, _, value in candidates(text, spans):
-                    offer("ordinary", value)
-        rows = [(kind, value) for kind, heap in kept.items() for _, value in heap]
-        yield pd.DataFrame(rows, columns=["kind", "value"])
+        rows = [(kind, -rank, value) for kind, heap in kept.items() for rank, value in heap]
+        yield pd.DataFrame(rows, columns=["kind", "rank", "value"])
 
-    values = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(sample, "kind string, value string")
+    values = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(sample, "kind string, rank long, value string")
     values = values.distinct().persist()
     try:
         grammars = {}
-        for kind in (*KINDS[:3], "ordinary"):
-            rows = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_train).collect()
+        for kind in KINDS[:3]:
+            rows = values.filter(F.col("kind") == kind).orderBy("rank", "value").limit(max_train).collect()
             if rows:
                 grammars[kind] = infer([r["value"] for r in rows])
     finally:
         values.unpersist()
-    return grammars
+    ordinary = ordinary_grammar(docs, grammars, text_col)
+    return grammars | {"ordinary": ordinary} if ordinary else grammars
 
 
 def scan_secrets(docs: DataFrame, grammars: dict[str, list[dict]], id_col: str = "doc_id", text_col: str = "text",

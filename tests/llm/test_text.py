@@ -119,6 +119,19 @@ def test_grammars_find_the_format(spark):
     assert all(len(got[i]) == 2 for i in range(60))
 
 
+def test_many_bare_keys_stay_credentials(spark):
+    """A source full of bare keys of a labelled format does not make the format ordinary."""
+    draw = random.Random(8)
+    key = lambda: "".join(draw.choice("0123456789ABCDEF") for _ in range(32))
+    word = lambda: "".join(draw.choice("etaoinshrdlucmfwyp") for _ in range(draw.randrange(16, 24)))
+    rows = [(i, f"secret={key()}") for i in range(300)] + [(1000 + i, f"dump {key()}") for i in range(600)]
+    rows += [(2000 + i, f"prose {word()}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = secret_scan.scan_secrets(docs, secret_scan.learn_grammars(docs)).collect()
+    bare = {r.doc_id: [x.kind for x in r.found] for r in found if r.doc_id >= 1000}
+    assert all(kinds == (["format"] if i < 2000 else []) for i, kinds in bare.items())
+
+
 def test_secrets_on_odd_rows(odd_docs, no_docs):
     assert secret_scan.learn_grammars(no_docs) == {}
     got = secret_scan.span_digest(secret_scan.scan_secrets(odd_docs, secret_scan.learn_grammars(odd_docs))).collect()
