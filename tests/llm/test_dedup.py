@@ -127,6 +127,13 @@ def test_copies_meet_across_batches(spark, small_batches, width, percent):
     assert got == brute_groups(rows, width, percent)
 
 
+def test_drop_similar_across_batches(spark, small_batches):
+    rows = spread_copies(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    kept = {r.doc_id for r in near_dup.drop_similar(docs, width=5, percent=80).collect()}
+    assert kept == {root for _, root in brute_groups(rows, 5, 80).values()}
+
+
 def test_all_sets_of_a_block_meet(spark, small_batches):
     """Every two sets with an equal block stand in one star, whatever batches they came in."""
     rows, tops, hashes = spread_copies(1), near_dup.bands(80), near_dup.WordHashes()
