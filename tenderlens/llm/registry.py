@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlens.session import ensure_checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,3 +40,16 @@ def text_or_empty(column: str) -> Column:
 def groups_for(items: float, per_group: int) -> int:
     """How many hash groups keep each at about ``per_group`` items, at least one."""
     return max(1, -(-int(items) // per_group))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def settled_table(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write the rows as Parquet in the shared folder and read them again: a short lineage, few bytes."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
