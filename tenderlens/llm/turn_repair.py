@@ -456,9 +456,9 @@ def repair_conversations(rows: DataFrame, ids: DataFrame | None = None) -> DataF
 
     Rows of a conversation are in order of turn, nulls first; rows with one turn are in order of the digest
     of role and text, and equal rows stand side by side (all but the first are duplicates). A missing role
-    or text counts as one space; a missing conv_id is a conversation like any other. ``ids`` names conversations that must be in
-    the result even without rows: zeros, an empty audit, the hash of nothing. Texts of any length are
-    only hashed and looked at from the end. Other columns are ignored; an empty table gives no rows.
+    or text counts as one space; a row whose role is empty has no initial and cannot be kept. A missing
+    conv_id is a conversation like any other. ``ids`` names conversations that must be in the result even
+    without rows: zeros, an empty audit, the hash of nothing. Texts of any length are only hashed and looked at from the end. Other columns are ignored; an empty table gives no rows.
 
     The hash reads a conversation's rows one after the other, as SHA-256 must: a stream through one task with nothing
     held in memory. All else of a long conversation is shared out over slices.

@@ -9,7 +9,7 @@ import corpus_pipeline
 from tenderlens import llm
 from tenderlens.llm import mixing, revisits, token_shards
 
-TABLES = ("documents", "pages", "labels")
+TABLES = ("documents", "pages", "labels", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
