@@ -146,19 +146,22 @@ def quarantine(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged.filter(~F.col("failed")), staged.filter("failed")
 
 
-def with_auction_ids(arrived: DataFrame, existing: DataFrame | None, order: str = "arrival") -> DataFrame:
+def with_auction_ids(arrived: DataFrame, existing: DataFrame | None, order: str = "arrival",
+                     top: Column | None = None) -> DataFrame:
     """The last row per auction of a batch with its id.
 
     Known auctions keep their id; new ones are numbered on in order of first arrival, by a
-    distributed row number.
+    distributed row number. ``top`` is the highest id so far, where ``existing`` has only some of the auctions.
     """
     keys = ["cusip", "auction_date"]
     last = latest_rows(arrived, keys, order, first="_first")
     if existing is None:
-        last, top = last.withColumn("auction_id", F.lit(None).cast("bigint")), F.lit(0)
+        last = last.withColumn("auction_id", F.lit(None).cast("bigint"))
+        top = F.lit(0) if top is None else top
     else:
         last = last.join(existing.select(*keys, "auction_id"), keys, "left")
-        top = F.coalesce(existing.agg(F.max("auction_id").alias("top")).scalar(), F.lit(0))
+        top = existing.agg(F.max("auction_id").alias("top")).scalar() if top is None else top
+    top = F.coalesce(top, F.lit(0))
     # Numbering samples its input before it sorts it, so the merged rows are settled first.
     last = materialise(last)
     fresh = with_position(last.filter("auction_id IS NULL"), ["_first", *keys], "_place")

@@ -1,8 +1,7 @@
 """Tables on shared storage (S8) and the run ledger (M5).
 
-Plain Parquet has no MERGE. A growing table is a base plus one folder of changed rows per batch:
-a batch only writes its own rows, replaying it overwrites the same folder, and nothing that is
-being read is ever replaced. ``compact`` folds the changes into a new base.
+Plain Parquet has no MERGE. A keyed table is cut into folders by a function of its key, and a batch
+reads and overwrites only the folders that its keys fall into.
 """
 
 from __future__ import annotations
@@ -10,12 +9,13 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlens.operators.merge import conform, latest_rows
+from tenderlens.operators.merge import conform, latest_rows, same_keys
 from tenderlens.schemas import RUNS
+from tenderlens.session import materialise
 from tenderlens.sources.files import is_missing
 
 
@@ -37,60 +37,79 @@ def save_table(df: DataFrame, path: str, schema: T.StructType, partition_by: tup
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-class KeyedTable:
-    """A table with one current row per key."""
+def hash_folder(*keys: str, folders: int = 64) -> Column:
+    """Folder number of a key without a natural order."""
+    return F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
 
-    def _read(self, folder: str, schema: T.StructType) -> DataFrame | None:
+class PartitionedTable:
+    """A table with one current row per key, in folders ``part=<number>``.
+
+    ``part`` is a function of the key, such as the year of a date or a hash (``hash_folder``); choose it so that
+    a folder is a handful of files. Beside its columns a row keeps the batch that first brought its key, so
+    that a repeated batch finds the same keys new as the first time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], part: Column):
+        self.spark, self.path, self.schema, self.keys, self.part = spark, path.rstrip("/"), schema, keys, part
+        self._stored = T.StructType([*schema.fields, T.StructField("first_batch", T.LongType()),
+                                     T.StructField("part", T.IntegerType())])
+
+    def _read(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+            return self.spark.read.schema(self._stored).parquet(self.path)
         except AnalysisException as error:
             if is_missing(error):
                 return None
             raise
 
-    def _version(self) -> tuple[int, int]:
-        """(version of the base, last batch folded into it)."""
-        log = self._read("versions", T.StructType().add("version", T.LongType()).add("last_batch", T.LongType()))
-        newest = None if log is None else log.agg(
-            F.max(F.struct("version", "last_batch")).alias("v")).first()["v"]
-        return (newest["version"], newest["last_batch"]) if newest else (0, -1)
-
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Store the changed rows of one batch (unique by key); repeating it changes nothing."""
-        conform(rows, self.schema).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}")
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """Current rows, or those before a batch; None if nothing was ever written."""
-        version, folded = self._version()
-        if before is not None and before <= folded:
-            raise ValueError(f"batches up to {folded} are folded; the state before {before} is gone")
-        base = self._read(f"base/version={version}", self.schema) if version else None
-        changes = self._read("changes", T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())]))
-        if changes is not None:
-            changes = changes.filter(F.col("batch") > folded)
-            if before is not None:
-                changes = changes.filter(F.col("batch") < before)
-            changes = latest_rows(changes, self.keys, "batch")
-        if base is None or changes is None:
-            return base if changes is None else changes
-        # Base rows are unique already: only the changed keys are looked up, not regrouped.
-        return base.join(changes.select(*self.keys), self.keys, "left_anti").unionByName(changes)
-
-    def compact(self, last_batch: int) -> None:
-        """Fold all batches up to ``last_batch``, none of which will be repeated, into a new base."""
-        version, folded = self._version()
-        if last_batch <= folded:
-            return
-        current = self.read(before=last_batch + 1)
-        if current is None:
-            return
-        current.sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(
-            f"{self.path}/base/version={version + 1}")
-        self.spark.createDataFrame([(version + 1, last_batch)], "version bigint, last_batch bigint") \
-            .coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+    def read(self) -> DataFrame | None:
+        """Current rows; None if nothing was ever written."""
+        stored = self._read()
+        return None if stored is None else stored.select(*self.schema.fieldNames())
+
+    def touched(self, rows: DataFrame, before: int | None = None) -> DataFrame | None:
+        """Stored rows in the folders of ``rows``, those of keys first seen ``before`` a batch."""
+        stored = self._read()
+        if stored is None:
+            return None
+        # As many values as folders exist at most; they prune the scan when it is planned.
+        part = F.col("part") if "part" in rows.columns else self.part.alias("part")
+        folders = [r["part"] for r in rows.select(part).distinct().collect()]
+        stored = stored.filter(F.col("part").isin(folders))
+        if before is not None:
+            stored = stored.filter(F.col("first_batch") < before)
+        return stored.select(*self.schema.fieldNames(), "first_batch", "part")
+
+    def merge(self, rows: DataFrame, batch: int) -> dict:
+        """Replace or add rows (unique by key); returns how many keys were ``written`` and ``inserted``.
+
+        Only folders with such keys are read and rewritten, all others keep their files. The new files are moved in
+        when all are written; a batch repeated after a failure gives the same rows and figures.
+        """
+        placed = rows.withColumn("part", self.part)
+        fields = [*self.schema.fields, T.StructField("part", T.IntegerType())]
+        new = materialise(conform(placed, T.StructType(fields)))
+        if new.isEmpty():
+            return {"written": 0, "inserted": 0}
+        old = self.touched(new)
+        if old is None:
+            merged = new.withColumn("first_batch", F.lit(batch).cast("bigint")).withColumn("_new", F.lit(True))
+        else:
+            known = old.select(*[F.col(k).alias(f"_{k}") for k in self.keys], F.col("first_batch").alias("_first"))
+            latest = new.join(known, same_keys(self.keys), "left").select(
+                *new.columns, F.least(F.coalesce("_first", F.lit(batch)), F.lit(batch)).cast("bigint").alias("first_batch"),
+                F.lit(True).alias("_new"))
+            keys = new.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+            kept = old.join(keys, same_keys(self.keys), "left_anti").withColumn("_new", F.lit(False))
+            merged = latest.unionByName(kept)
+        seen = Observation()
+        observed = merged.observe(
+            seen, F.count_if("_new").alias("written"),
+            F.count_if(F.col("_new") & (F.col("first_batch") == batch)).alias("inserted"))
+        (observed.drop("_new").hint("rebalance", "part").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path))
+        return seen.get
 
 
 class RunLedger:
@@ -105,6 +124,10 @@ class RunLedger:
         entry = tuple(row.get(name) for name in RUNS.fieldNames())
         self.spark.createDataFrame([entry], RUNS).coalesce(1).write.mode("append").parquet(self.path)
 
+    def last_auction_date(self):
+        """The latest auction date of any successful run."""
+        return self.runs().filter("status = 'SUCCESS'").agg(F.max("last_auction_date").alias("last")).first()["last"]
+
     def runs(self) -> DataFrame:
         try:
             entries = self.spark.read.schema(RUNS).parquet(self.path)

@@ -1,37 +1,174 @@
-"""Incremental ingest (ST1): each landing file is upserted once; corrections overwrite."""
+"""Incremental ingest (ST1): each landing file is taken once; corrections overwrite.
+
+What is known of every key lives in the stream's own keyed state, in its checkpoint: the place where
+the key's newest record came from. A batch therefore knows which keys are new and which rows change
+without reading any stored table. Records are in order of file name and place in the file, whatever order the files
+are processed in: a file delivered late never overwrites newer ones.
+
+The changed rows of a batch are written once, to ``changes/batch=<n>``, and merged from there into the folders
+of the store that they fall into.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.streaming import StreamingQuery
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from tenderlens.functions.parsing import parse_date
+from tenderlens.operators.merge import auctions_from, bidders_from, securities_from, stage_records
+from tenderlens.plans.ingest import AuctionStore, finish_run
+from tenderlens.schemas import API_FIELDS, API_RECORD
+from tenderlens.sources.files import is_missing
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PLACE = "path string, start long, row long"
+# Kinds of entries; a record gives one for each table that it reaches.
+SECURITY, AUCTION, BIDDER, REJECTED = "security", "auction", "bidder", "rejected"
+ENTRY = f"kind string, cusip string, day string, path string, start long, row long, first boolean, body string"
+CHANGE = "kind string, cusip string, day string, body string, records long, fresh boolean, fetched long"
+
+
+def numbered_records(stream: DataFrame) -> DataFrame:
+    """Add ``row``, the number of a record in its file split; splits are read in their order by one task."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            rows = []
+            for place in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                rows.append(seen.get(place, 0))
+                seen[place] = rows[-1] + 1
+            yield batch.append_column("row", pa.array(rows, pa.int64()))
+
+    placed = stream.select(*API_FIELDS, F.col("_metadata.file_path").alias("path"),
+                           F.col("_metadata.file_block_start").alias("start"))
+    fields = ", ".join(f"{n} string" for n in API_FIELDS)
+    return placed.mapInArrow(number, f"{fields}, {_PLACE}")
+
+
+def record_entries(records: DataFrame) -> DataFrame:
+    """One entry per record and table that it reaches, and one for a record that fails."""
+    staged = stage_records(records)
+    body = F.to_json(F.struct(*API_FIELDS))
+    day = parse_date("auctionDate").cast("string")
+    place = F.concat_ws(":", "path", "start", "row")
+
+    def entry(flag: str, kind: str, cusip, key, first):
+        fields = (F.lit(kind).alias("kind"), cusip.alias("cusip"), key.alias("day"), "path", "start", "row",
+                  first.alias("first"), body.alias("body"))
+        return F.when(F.col(flag), F.struct(*fields))
+
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    # Every record is counted as fetched by exactly one of its entries.
+    entries = F.array(
+        entry("to_security", SECURITY, F.col("cusip"), none, F.lit(True)),
+        entry("to_auction", AUCTION, F.col("cusip"), day, no),
+        entry("to_bidder", BIDDER, F.col("cusip"), day, no),
+        entry("failed", REJECTED, place, none, ~F.col("to_security")))
+    return staged.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
+
 
-from tenderlens.plans.ingest import AuctionStore, ingest_batch
-from tenderlens.schemas import API_RECORD
-from tenderlens.sources.records import with_arrival
+class NewestRecord(StatefulProcessor):
+    """Keep where the newest record of a key came from; pass on that record when it is new."""
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", _PLACE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rejected = key[0] == REJECTED
+        known = None if rejected else self.newest.get()
+        place, body, records, fetched = tuple(known) if known is not None else None, None, 0, 0
+        for frame in rows:
+            for at in zip(frame["path"], frame["start"], frame["row"], frame["body"], frame["first"]):
+                records, fetched = records + 1, fetched + int(at[4])
+                if place is None or tuple(at[:3]) >= place:
+                    place, body = (at[0], int(at[1]), int(at[2])), at[3]
+        if not rejected and body is not None:
+            self.newest.update(place)
+        yield pd.DataFrame({"kind": [key[0]], "cusip": [key[1]], "day": [key[2]], "body": [body],
+                            "records": [records], "fresh": [known is None], "fetched": [fetched]})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_rows(stream: DataFrame) -> DataFrame:
+    """CHANGE rows of a stream of API records (with file metadata): one per key met in a batch.
+
+    ``body`` is the key's record if it is newer than all before, else null; ``fresh`` tells that the key was
+    never seen; rejected records stand for themselves.
+    """
+    entries = record_entries(numbered_records(stream))
+    return entries.groupBy("kind", "cusip", "day").transformWithStateInPandas(
+        NewestRecord(), CHANGE, outputMode="Update", timeMode="None")
+
+
+def apply_changes(store: AuctionStore, changes: DataFrame, batch: int, run_type: str = "INCREMENTAL") -> dict:
+    """Merge one batch of CHANGE rows into the store and note the run."""
+    run_id = uuid.uuid4().hex
+    store.ledger.record(run_id, "RUNNING", run_type)
+    try:
+        bodies = changes.filter("body IS NOT NULL").select("kind", F.from_json("body", API_RECORD).alias("r"))
+
+        def of(kind: str, flag: str) -> DataFrame:
+            rows = bodies.filter(F.col("kind") == kind).select("r.*")
+            return rows.withColumns({"arrival": F.lit(0), flag: F.lit(True)})
+
+        store.merge(securities_from(of(SECURITY, "to_security"), "arrival").drop("arrival"),
+                    auctions_from(of(AUCTION, "to_auction"), "arrival").drop("arrival"),
+                    bidders_from(of(BIDDER, "to_bidder"), "arrival").drop("arrival"), batch)
+        auction = F.col("kind") == AUCTION
+        # All figures come from the changes of the batch, which are already written.
+        row = changes.agg(
+            F.coalesce(F.sum("fetched"), F.lit(0)).alias("fetched"), F.count_if(F.col("kind") == REJECTED).alias("errors"),
+            F.count_if(auction & F.col("fresh")).alias("inserted"),
+            F.coalesce(F.sum(F.when(auction, F.col("records"))), F.lit(0)).alias("arrived"),
+            F.max(F.when(auction, F.to_date("day"))).alias("last")).first()
+        return finish_run(store, run_id, run_type, row["fetched"], row["errors"], row["inserted"],
+                          row["arrived"] - row["inserted"], row["last"])
+    except Exception as error:
+        store.ledger.record(run_id, "FAILED", run_type, error_message=str(error))
+        raise
 
 
 def stream_ingest(spark: SparkSession, source: str, store: AuctionStore, checkpoint: str,
-                  multi_line: bool = True, max_files: int | None = None,
-                  compact_every: int | None = None) -> StreamingQuery:
+                  multi_line: bool = True, max_files: int | None = None) -> StreamingQuery:
     """Process all files that have landed, then stop; run it on a timer for daily updates.
 
-    Batch numbers come from the stream's checkpoint, so a batch repeated after a failure
-    overwrites its own change folders. Tables are compacted on demand, or every ``compact_every``
-    batches; the newest batch, which may be repeated, is never folded.
+    ``checkpoint`` holds the keyed state and must be on storage that all executors share. Batch numbers come from it, so a
+    batch repeated after a failure overwrites its own changes and merges the same rows again.
     """
+    spark.conf.set(STATE_STORE, ROCKSDB)
     reader = spark.readStream.schema(API_RECORD).option("multiLine", str(multi_line).lower())
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
-    def process(records, batch: int) -> None:
-        ingest_batch(store, with_arrival(records).drop("_metadata"), batch, run_type="INCREMENTAL")
-        if compact_every and batch % compact_every == 0:
-            for table in (store.securities, store.auctions, store.bidders):
-                table.compact(batch - 1)
+    def process(changes: DataFrame, batch: int) -> None:
+        folder = f"{checkpoint.rstrip('/')}-changes/batch={batch}"
+        changes.write.mode("overwrite").parquet(folder)     # the stateful plan runs once
+        apply_changes(store, changes.sparkSession.read.schema(CHANGE).parquet(folder), batch)
 
-    # File metadata is only known to the reader, so it travels along as a column.
-    return (reader.json(source).select("*", "_metadata").writeStream
+    return (changed_rows(reader.json(source)).writeStream
+            .outputMode("update")
             .foreachBatch(process)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
+
+
+def rejected_records(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """All records that a stream has set aside, with the batch that met them; None before the first batch."""
+    try:
+        changes = spark.read.schema(f"{CHANGE}, batch long").parquet(f"{checkpoint.rstrip('/')}-changes")
+    except AnalysisException as error:
+        if is_missing(error):
+            return None
+        raise
+    return changes.filter(F.col("kind") == REJECTED).select("batch", F.from_json("body", API_RECORD).alias("record"))

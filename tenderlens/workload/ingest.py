@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlens import schemas
 from tenderlens.functions import parsing as ps
@@ -264,11 +265,21 @@ def _late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("arrival % 2 = 0"), rows.filter("arrival % 2 = 1")
 
 
+def _stored_and_corrected(spark, schema, keys, part, stored, late) -> DataFrame:
+    """A table after two batches, the second of which rewrites only the folders it touches."""
+    table = tables.PartitionedTable(spark, scratch(spark), schema, keys, part)
+    table.merge(stored, 0)
+    table.merge(late, 1)
+    return table.read()
+
+
 @query("upsert_articles_update", using("flagged", _ARTICLES.replace(
     "ORDER BY CAST", "ORDER BY CAST(f.article_id AS BIGINT) % 2 DESC, CAST")))
 def _(spark, sf):
     stored, late = _late(_delivered_articles(spark, sf))
-    return merge.upsert_articles(merge.upsert_articles(None, stored, "arrival"), late, "arrival")
+    return _stored_and_corrected(
+        spark, schemas.ARTICLES, ["article_id"], tables.hash_folder("article_id", folders=16),
+        merge.upsert_articles(None, stored, "arrival"), merge.upsert_articles(None, late, "arrival"))
 
 
 @query("upsert_bidders_update", _sql(_BIDDER_SQL.replace(
@@ -276,7 +287,9 @@ def _(spark, sf):
 def _(spark, sf):
     key = ["cusip", "auction_date"]
     stored, late = _late(merge.bidders_from(_staged(spark, sf), "arrival"))
-    merged = merge.upsert(merge.latest_rows(stored, key, "arrival"), late, key, "arrival")
+    schema = T.StructType([*[schemas.AUCTIONS[k] for k in key], *schemas.BIDDER_DETAILS.fields])
+    merged = _stored_and_corrected(spark, schema, key, F.year("auction_date"), merge.latest_rows(stored, key, "arrival"),
+                                   merge.latest_rows(late, key, "arrival"))
     return _as_double(merged.select(*key, "primary_dealer_accepted", "fima_percentage"))
 
 
@@ -295,12 +308,17 @@ _LATE_AUCTIONS = {
     CAST(CAST(nullif(high_yield, '') AS DECIMAL(10,4)) AS DOUBLE) AS high_yield FROM renumbered""",
     **{n: _RECORDS[n] for n in _ALL[:3]}, **_LATE_AUCTIONS))
 def _(spark, sf):
-    """Corrections keep the ids of stored auctions, new auctions are numbered after them."""
+    """Corrections keep the ids of stored auctions, new auctions are numbered after them.
+
+    Ids are looked up in the years that the corrections touch; of the other years only the highest id is read.
+    """
     key = ["cusip", "auction_date"]
     stored, late = _late(merge.auctions_from(_staged(spark, sf), "arrival"))
-    known = materialise(merge.with_auction_ids(stored, None))
-    arrived = merge.with_auction_ids(late, known).withColumn("arrival", F.lit(0))
-    return _as_double(merge.upsert(known, arrived, key, "arrival").select("auction_id", *key, "high_yield"))
+    table = tables.PartitionedTable(spark, scratch(spark), schemas.AUCTIONS, key, F.year("auction_date"))
+    table.merge(merge.with_auction_ids(stored, None), 0)
+    top = table.read().agg(F.max("auction_id").alias("top")).scalar()
+    table.merge(merge.with_auction_ids(late, table.touched(late, before=1), top=top), 1)
+    return _as_double(table.read().select("auction_id", *key, "high_yield"))
 
 
 @query("upsert_stats_update", _sql("""SELECT CAST(count(*) FILTER (WHERE known = 0 AND late > 0) AS BIGINT) AS inserted,
@@ -471,22 +489,50 @@ def _(spark, sf):
                         parse_broken_date("details").alias("date"), F.md5("article").alias("article_digest"))
 
 
+def _landed(spark, sf) -> AuctionStore:
+    """A store after three runs of the stream over files in arrival order.
+
+    The first run meets the first third of the records, the second the rest, and the third only a late copy of a
+    file that came before: its name puts it before the newest file, so it changes nothing.
+    """
+    folder = scratch(spark)
+    rows = raw_records(spark, sf)
+    end = rows.agg((F.max("arrival") + 1).alias("end")).scalar()
+    thirds = rows.withColumn("third", F.floor(F.col("arrival") * 3 / end))
+    store = AuctionStore(spark, f"{folder}/store")
+    for landed in ({"1": 0}, {"2": 1, "3": 2}, {"2b": 1}):
+        for name, third in landed.items():
+            ordered = thirds.filter(F.col("third") == third).drop("third").orderBy("arrival")
+            ordered.drop("arrival").write.json(f"{folder}/landing/{name}")
+        stream_ingest(spark, f"{folder}/landing/*", store, f"{folder}/progress", multi_line=False).awaitTermination()
+    return store
+
+
 @query("stream_ingest", _sql("""SELECT n.cusip, n.auction_date,
     CAST(CAST(nullif(n.high_yield, '') AS DECIMAL(10,4)) AS DOUBLE) AS high_yield,
     b.primary_dealer_accepted FROM numbered n LEFT JOIN (""" + _BIDDER_SQL + """) b
     ON n.cusip = b.cusip AND n.auction_date = b.auction_date""", *_ALL))
 def _(spark, sf):
-    folder = scratch(spark)
-    # One landing file in arrival order, so that the last record of a key is the newest.
-    ordered = with_position(raw_records(spark, sf), ["arrival"], "place").orderBy("place").drop("arrival", "place")
-    ordered.write.json(f"{folder}/landing")
-    store = AuctionStore(spark, f"{folder}/store")
-    stream_ingest(spark, f"{folder}/landing", store, f"{folder}/progress", multi_line=False).awaitTermination()
+    store = _landed(spark, sf)
     auctions, bidders = store.auctions.read(), store.bidders.read()
     joined = auctions.join(bidders, "auction_id", "left")
     return _as_double(joined.select("cusip", "auction_date", "high_yield", "primary_dealer_accepted"))
 
 
+@query("stream_ledger", _sql("""SELECT run, records_fetched, inserted AS records_inserted,
+    arrived - inserted AS records_updated, last_auction_date FROM (
+    SELECT run, count(*) AS records_fetched, count(*) FILTER (WHERE to_auction) AS arrived,
+        count(*) FILTER (WHERE new) AS inserted, max(max(CASE WHEN to_auction THEN auction_date END)) OVER (ORDER BY run) AS last_auction_date
+    FROM (SELECT *, run < 3 AND to_auction AND row_number() OVER (PARTITION BY to_auction, cusip, auction_date ORDER BY run, arrival) = 1 AS new
+        FROM (SELECT *, unnest(CASE third WHEN 0 THEN [1] WHEN 1 THEN [2, 3] ELSE [2] END) AS run FROM (
+            SELECT *, floor(arrival * 3 / (SELECT max(arrival) + 1 FROM judged)) AS third FROM judged)))
+    GROUP BY run)""", *_ALL[:3]))
+def _(spark, sf):
+    runs = _landed(spark, sf).ledger.runs().filter("status = 'SUCCESS'")
+    numbered = F.row_number().over(Window.orderBy("update_timestamp")).cast("bigint")
+    return runs.select(numbered.alias("run"), "records_fetched", "records_inserted", "records_updated", "last_auction_date")
+
+
 @query("news_load", using("flagged rated", f"""SELECT date, CAST(total_articles AS INTEGER) AS total_articles,
     CAST(CAST(rate AS DECIMAL(10,6)) AS DOUBLE) AS rate FROM rated WHERE date IN (SELECT date FROM ({_ARTICLES}))"""))
 def _(spark, sf):

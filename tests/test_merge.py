@@ -8,8 +8,8 @@ from tenderlens import schemas
 from tenderlens.operators import joins, merge
 from tenderlens.plans.ingest import AuctionStore, NewsStore, ingest_batch
 from tenderlens.sources import files, records
-from tenderlens.sources.tables import KeyedTable, RunLedger, load_table, save_table
-from tenderlens.streaming.ingest import stream_ingest
+from tenderlens.sources.tables import PartitionedTable, RunLedger, hash_folder, load_table, save_table
+from tenderlens.streaming.ingest import changed_rows, rejected_records, stream_ingest
 
 
 def record(**fields):
@@ -168,29 +168,41 @@ def test_tables_round_trip(spark, tmp_path):
     assert got.schema == schemas.AUCTIONS and got.first()["high_yield"] == Decimal("4.5679")
 
 
-def test_keyed_table_replay_and_compaction(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), schemas.PHRASES, ["phrase"])
-    assert table.read() is None
+def files_of(folder):
+    """Data files by folder of the table, with their times of writing."""
+    return {d.name: {(f.name, f.stat().st_mtime_ns) for f in d.glob("*.parquet")} for d in folder.glob("part=*")}
 
-    def put(batch, *rows):
-        table.append(spark.createDataFrame(rows, "phrase string, count long"), batch)
 
-    def state(**kw):
-        return dict(map(tuple, table.read(**kw).collect()))
+def test_only_touched_folders_are_rewritten(spark, tmp_path):
+    rows = [(f"p{i}", i) for i in range(200)] + [(None, 1)]
+    table = PartitionedTable(spark, str(tmp_path / "t"), schemas.PHRASES, ["phrase"], hash_folder("phrase", folders=16))
+    assert table.read() is None and table.touched(spark.createDataFrame(rows, "phrase string, count long")) is None
 
-    put(0, ("a", 1), ("b", 2))
-    put(1, ("b", 3), ("c", 4))
-    put(1, ("b", 3), ("c", 4))
-    assert state() == {"a": 1, "b": 3, "c": 4} and state(before=1) == {"a": 1, "b": 2}
-    table.compact(1)
-    table.compact(1)
-    assert state() == {"a": 1, "b": 3, "c": 4}
-    with pytest.raises(ValueError):
-        table.read(before=1)
-    put(2, ("a", 9), ("d", 5))
-    assert state() == {"a": 9, "b": 3, "c": 4, "d": 5} and state(before=2) == {"a": 1, "b": 3, "c": 4}
-    table.compact(2)
-    assert state() == {"a": 9, "b": 3, "c": 4, "d": 5}
+    def put(batch, *new):
+        return table.merge(spark.createDataFrame(new, "phrase string, count long"), batch)
+
+    assert put(0, *rows) == {"written": 201, "inserted": 201}
+    before = files_of(tmp_path / "t")
+    assert len(before) == 16
+    folder = spark.createDataFrame([("p7",), ("new",)], "phrase string").select(hash_folder("phrase", folders=16)).collect()
+    touched = {f"part={r[0]}" for r in folder}
+    for _ in range(2):      # a batch that is repeated gives the same rows and figures
+        assert put(1, ("p7", 70), ("new", 5)) == {"written": 2, "inserted": 1}
+        after = files_of(tmp_path / "t")
+        assert {d for d in after if after[d] != before.get(d)} == touched
+        assert dict(map(tuple, table.read().collect())) == {**dict(rows), "p7": 70, "new": 5}
+    assert put(2, (None, 9)) == {"written": 1, "inserted": 0}
+    assert dict(map(tuple, table.read().collect()))[None] == 9
+    known = table.touched(spark.createDataFrame([("new", 0)], "phrase string, count long"), before=1)
+    assert known.filter("phrase = 'new'").count() == 0 and known.count() > 0
+    assert put(3) == {"written": 0, "inserted": 0} and table.read().count() == 202
+
+
+def test_scan_reads_touched_folders_only(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path), schemas.PHRASES, ["phrase"], hash_folder("phrase", folders=8))
+    table.merge(spark.createDataFrame([(f"p{i}", i) for i in range(50)], "phrase string, count long"), 0)
+    plan = table.touched(spark.createDataFrame([("p1", 0)], "phrase string, count long"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
 
 
 def test_ledger(spark, tmp_path):
@@ -214,12 +226,15 @@ def test_batch_ingest(spark, tmp_path):
         assert ingest_batch(store, second, 1)["updated"] == 2
     auctions = {r["cusip"]: r for r in store.auctions.read().collect()}
     assert auctions["C2"]["high_yield"] == Decimal("4.9000") and auctions["C1"]["high_yield"] is None
-    assert sorted(r["auction_id"] for r in auctions.values()) == [1, 2]
+    assert len({r["auction_id"] for r in auctions.values()}) == 2
     bidders = {r["auction_id"]: r for r in store.bidders.read().collect()}
     assert bidders[auctions["C1"]["auction_id"]]["primary_dealer_percentage"] == Decimal("40.00")
     assert len(bidders) == 2 and store.securities.read().count() == 3
     runs = store.ledger.runs().collect()
     assert {r["status"] for r in runs} == {"SUCCESS"} and {r["last_auction_date"] for r in runs} == {dt.date(2024, 1, 2)}
+    # The last date is the ledger's where a batch has only older ones.
+    ingest_batch(store, raw(spark, record(cusip="C9", auctionDate="2023-05-05")), 2)
+    assert {r["last_auction_date"] for r in store.ledger.runs().collect()} == {dt.date(2024, 1, 2)}
 
 
 def test_failed_run_is_noted(spark, tmp_path):
@@ -231,21 +246,43 @@ def test_failed_run_is_noted(spark, tmp_path):
 
 def test_stream_picks_up_new_files(spark, tmp_path):
     import json
-    landing = tmp_path / "landing"
+    landing, store = tmp_path / "landing", AuctionStore(spark, str(tmp_path / "store"))
     landing.mkdir()
-    store = AuctionStore(spark, str(tmp_path / "store"))
+
+    def land(name, *records):
+        (landing / f"{name}.json").write_text(json.dumps(list(records)))
 
     def run():
-        stream_ingest(spark, str(landing), store, str(tmp_path / "progress"), max_files=1, compact_every=1).awaitTermination()
-
-    (landing / "2024-01-01.json").write_text(json.dumps([record(), record(cusip="C2", highYield="")]))
-    run()
-    run()  # nothing new
-    assert store.ledger.runs().count() == 1
-    (landing / "2024-01-02.json").write_text(json.dumps([record(cusip="C2", highYield="4.2")]))
-    run()
-    rows = {r["cusip"]: (r["auction_id"], r["high_yield"]) for r in store.auctions.read().collect()}
-    assert rows == {"C1": (1, Decimal("4.5000")), "C2": (2, Decimal("4.2000"))}
+        stream_ingest(spark, str(landing), store, str(tmp_path / "progress"), max_files=1).awaitTermination()
+        runs = store.ledger.runs().orderBy("update_timestamp").collect()
+        return [(r["status"], r["records_fetched"], r["records_inserted"], r["records_updated"]) for r in runs]
+
+    def state():
+        return {r["cusip"]: r["high_yield"] for r in store.auctions.read().collect()}
+
+    land("2024-01-01", record(), record(cusip="C2", highYield=""), record(cusip="C2", highYield="4.1"))
+    first = [("SUCCESS", 3, 2, 1)]
+    assert run() == first and run() == first      # nothing new
+    ids = {r["cusip"]: r["auction_id"] for r in store.auctions.read().collect()}
+    land("2024-01-03", record(cusip="C2", highYield="4.2"), record(cusip="C3", highYield="x"), record(interestRate="x"))
+    assert run()[1:] == [("SUCCESS", 3, 0, 1)]
+    assert state() == {"C1": Decimal("4.5000"), "C2": Decimal("4.2000")}
+    # A file that comes late does not overwrite what a later file has brought.
+    land("2024-01-02", record(cusip="C2", highYield="9.9"), record(highYield="4.6"), record(cusip="C4", highYield="1"))
+    assert run()[2:] == [("SUCCESS", 3, 1, 2)]
+    assert state() == {"C1": Decimal("4.6000"), "C2": Decimal("4.2000"), "C4": Decimal("1.0000")}
+    assert {r["cusip"]: r["auction_id"] for r in store.auctions.read().collect()}.items() >= ids.items()
+    assert store.securities.read().count() == 4 and store.bidders.read().count() == 3
+    rejected = rejected_records(spark, str(tmp_path / "progress"))
+    assert sorted((r["batch"], r["record"]["cusip"]) for r in rejected.collect()) == [(1, "C1"), (1, "C3")]
+    assert rejected_records(spark, str(tmp_path / "nowhere")) is None
+
+
+def test_stream_plan_reads_no_stored_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    stream = spark.readStream.schema(schemas.API_RECORD).json(str(tmp_path))
+    plan = changed_rows(stream)._jdf.queryExecution().logical().toString()
+    assert plan.count("StreamingRelation") + plan.count("StreamingExecutionRelation") == 1 and "parquet" not in plan
 
 
 def test_news_store(spark, tmp_path):
