@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ STOP_LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "
 PARENTHESES = r"\([^)]*\)"
 SENTENCE_END = r"([.!?])\s+"
 COUNTRY = r"(?=[uU])(?iU)\b(?:u\.?\s*s\.?|usa|u\.?\s*s\.?\s*a\.?)\b"
+SENTENCE_BREAK = r"[.!?]\s+"
 NOT_A_TOKEN = r"[^a-z0-9]+"
 
 # Within the clean-up sentences end with ':', the character after '9': a class of two ranges is
@@ -29,12 +32,13 @@ NOT_A_TOKEN = r"[^a-z0-9]+"
 MARK = ":"
 NOT_A_TOKEN_OR_MARK = "[^a-z0-:]+"
 
-# The last marked sentence that has words, with the empty ones after it; possessive, so linear.
-LAST_SENTENCE = f"(?:^|(?<={MARK}))[^{MARK}]*+[{MARK} ]*+$"
+# All up to the last mark that still has a word behind it; greedy, so found from the end.
+BEFORE_LAST_SENTENCE = f"^(.*{MARK})[^{MARK}]*[a-z0-9]"
 
 # Noun endings and their base form, first match wins.
 NOUN_ENDINGS = [("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("men", "man")]
 KEPT_ENDINGS = ["ss", "us", "is"]
+NOUN_FINALS = sorted({ending[-1] for ending, _ in NOUN_ENDINGS} | {"s"})
 
 
 def _column(c) -> Column:
@@ -80,32 +84,35 @@ def remove_stopwords(tokens, stopwords: list[str]) -> Column:
 
 
 def noun_base(token: Column) -> Column:
-    """Base form of a noun by its ending."""
+    """Base form of a noun by its ending; words that no rule can match are told apart first."""
     size = F.length(token)
-    rule = None
+    rule = F.when(reduce(lambda a, b: a & b, [~token.endswith(x) for x in NOUN_FINALS]), token)
     for ending, base in NOUN_ENDINGS:
         stem = F.concat(token.substr(F.lit(1), size - len(ending)), F.lit(base))
-        matches = token.endswith(ending)
-        rule = F.when(matches, stem) if rule is None else rule.when(matches, stem)
+        rule = rule.when(token.endswith(ending), stem)
     for ending in KEPT_ENDINGS:
         rule = rule.when(token.endswith(ending), token)
     return rule.when(token.endswith("s"), token.substr(F.lit(1), size - 1)).otherwise(token)
 
 
 def _lookup(lemmas: dict[str, str]):
-    """token array -> lemma array, for a map of any length: one index look-up over each batch's tokens."""
+    """token array -> lemma array, for a map of any length: one index look-up over each batch's tokens.
+
+    The map travels with the function; its arrays are built once per task.
+    """
     size = sum(len(word) + len(base) for word, base in lemmas.items())
     if size > MAX_LEMMA_LETTERS:
         raise ValueError(f"a lemma map of {size} letters is too large to send to every task")
-    shared = SparkContext.getOrCreate().broadcast((list(lemmas), list(lemmas.values())))
+    known, forms = list(lemmas), list(lemmas.values())
 
     @F.arrow_udf("array<string>")
-    def mapped(column: pa.Array) -> pa.Array:
-        words, bases = (pa.array(x, pa.string()) for x in shared.value)
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        found = bases.take(pc.index_in(column.flatten().cast(pa.string()), value_set=words))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, found, mask=column.is_null() if column.null_count else None)
+    def mapped(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, bases = pa.array(known, pa.string()), pa.array(forms, pa.string())
+        for column in columns:
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            found = bases.take(pc.index_in(column.flatten().cast(pa.string()), value_set=words))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, found, mask=column.is_null() if column.null_count else None)
 
     return lambda tokens: F.transform(
         F.arrays_zip(tokens.alias("t"), mapped(tokens).alias("m")),
@@ -123,16 +130,14 @@ def lemmatize(tokens, lemmas: dict[str, str] | None = None) -> Column:
 def clean_tokens(c, stopwords: list[str], lemmas: dict[str, str] | None = None) -> Column:
     """Tokens of a document after clean-up, without its last sentence that has any.
 
-    Sentence borders travel through the string functions as a mark, so every step runs once over
-    the flat text. Each intermediate result is named once: inside array functions
+    Sentence borders travel through the string functions as a mark that is a word of its own, so every
+    step runs once over the flat text. Each intermediate result is named once: inside array functions
     Spark would compute a repeated expression again.
     """
     text = strip_parentheses(F.replace(_column(c), F.lit(MARK), F.lit(";")))
-    text = F.lower(normalize_country(_marked_sentences(text, MARK)))
-    text = F.regexp_replace(text, NOT_A_TOKEN_OR_MARK, " ")
-    text = F.replace(text, F.lit(MARK), F.lit(f" {MARK} "))
-    words = remove_stopwords(F.split(text, " "), ["", *stopwords])
-    body = F.regexp_replace(F.array_join(words, " "), LAST_SENTENCE, "")
+    text = F.lower(normalize_country(F.regexp_replace(text, SENTENCE_BREAK, f" {MARK} ")))
+    words = remove_stopwords(F.split(text, NOT_A_TOKEN_OR_MARK), ["", *stopwords])
+    body = F.regexp_extract(F.array_join(words, " "), BEFORE_LAST_SENTENCE, 1)
     return lemmatize(remove_stopwords(F.split(body, " "), ["", MARK]), lemmas)
 
 

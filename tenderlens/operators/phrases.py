@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.operators.ordering import running_total
-from tenderlens.session import materialise
+from tenderlens.session import materialise, settled
 
-LETTERS = "^[A-Za-z]+$"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MOST = 1 << 30
+BUCKETS = 1 << 16
 
 
 def letter_tokens(tokens) -> Column:
-    return F.filter(tokens, lambda t: t.rlike(LETTERS))
+    """Tokens of ASCII letters only: a set of letters is stripped, as a pattern would be compiled for every token."""
+    return F.filter(tokens, lambda t: (F.ltrim(t, F.lit(LETTERS)) == "") & (t != ""))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).otherwise(
-            F.array().cast("array<string>"))
+def _sequences(tokens: str, longest: int) -> Column:
+    """For every token itself and those behind it: structs ``w0``, ``w1``, ..., null past the end."""
+    return F.arrays_zip(*[F.slice(tokens, n + 1, MOST).alias(f"w{n}") for n in range(longest)])
+
+
+def _words(n: int) -> list[str]:
+    return [f"w{i}" for i in range(n)]
+
+
+def _phrase(longest: int, size: Column | str = "size") -> Column:
+    """The first ``size`` words as text."""
+    return F.concat_ws(" ", "w0", *[F.when(F.col(size) > n, F.col(f"w{n}")) for n in range(1, longest)])
 
 
 def _edges(tokens: str, longest: int) -> Column:
     """The first and last ``longest - 1`` tokens of a document with their places in it."""
-    words, reach = F.col(tokens), longest - 1
-    return F.filter(
-        F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))),
-        lambda e: (e["at"] < reach) | (e["at"] >= F.size(words) - reach))
+    reach, size = longest - 1, F.size(tokens)
+    tail = F.greatest(size - reach, F.lit(reach))
+
+    def placed(part: Column, start: Column) -> Column:
+        return F.transform(part, lambda t, i: F.struct((i + start).alias("at"), t.alias("token")))
+
+    return F.concat(placed(F.slice(tokens, 1, reach), F.lit(0)),
+                    placed(F.slice(tokens, tail + 1, F.lit(reach)), tail))
 
 
 def border_grams(ends: DataFrame, order: list[str], longest: int = 3) -> DataFrame:
-    """N-grams that start in one document and end in a later one of the same order.
+    """(size, w0, w1, ...): n-grams that start in one document and end in a later one of the same order.
 
     ``ends`` holds the order, the number of tokens (``_size``) and the outer tokens (``_edges``) of each
     document. Each token gets its place in the whole token stream, and neighbours meet by an equi-join
@@ -46,44 +58,86 @@ def border_grams(ends: DataFrame, order: list[str], longest: int = 3) -> DataFra
         F.col("_start").alias("doc"), "_start", F.explode("_edges").alias("e")
     ).select("doc", (F.col("_start") + F.col("e.at")).alias("place"), F.col("e.token").alias("token"))
     placed = materialise(placed)  # read five times below
-    grams, chain = [], placed.select(F.col("doc").alias("first"), "place", F.col("token").alias("phrase"))
+    grams, chain = [], placed.select(F.col("doc").alias("first"), "place", F.col("token").alias("w0"))
     for step in range(1, longest):
         following = placed.select((F.col("place") - step).alias("place"),
-                                  F.col("doc").alias("_doc"), F.col("token").alias("_token"))
-        joined = chain.join(following, "place")
-        phrase = F.concat_ws(" ", "phrase", "_token")
-        grams.append(joined.filter(F.col("first") != F.col("_doc")).select(phrase.alias("phrase")))
-        chain = joined.select("first", "place", phrase.alias("phrase"))
+                                  F.col("doc").alias("_doc"), F.col("token").alias(f"w{step}"))
+        chain = chain.join(following, "place")
+        blank = [F.lit(None).cast("string").alias(f"w{n}") for n in range(step + 1, longest)]
+        grams.append(chain.filter(F.col("first") != F.col("_doc")).select(
+            F.lit(step + 1).alias("size"), *_words(step + 1), *blank))
+        chain = chain.drop("_doc")
     return reduce(DataFrame.unionAll, grams)
 
 
+class Grams:
+    """The n-grams of all documents, over settled tokens, so that they can be gone through more than once.
+
+    With ``stitch_order`` the documents form one token stream in that order and phrases across their borders
+    count too; documents equal in it are in order of their outer tokens.
+    """
+
+    def __init__(self, docs: DataFrame, tokens: str, sizes: tuple[int, ...] = (1, 2, 3),
+                 stitch_order: list[str] | None = None, settle: bool = True):
+        self.sizes, longest = sizes, max(sizes)
+        letters = docs.select(*(stitch_order or []), letter_tokens(tokens).alias("_tokens"))
+        stitched = bool(stitch_order) and longest > 1
+        letters = settled(letters, "tokens") if settle or stitched else letters
+        self.sequences = letters.select(F.inline(_sequences("_tokens", longest)))
+        self.borders = None
+        if stitched:
+            ends = letters.select(*stitch_order, F.size("_tokens").cast("bigint").alias("_size"),
+                                  _edges("_tokens", longest).alias("_edges"))
+            order = [*stitch_order, "_size", "_tie"]
+            found = border_grams(ends.withColumn("_tie", F.xxhash64("_edges")), order, longest)
+            self.borders = settled(found.filter(F.col("size").isin(*sizes)), "borders")
+
+    def rows(self, name: Callable[[int], Column] = F.lit) -> DataFrame:
+        """(w0, w1, ..., size, gram): ``gram`` = name(size) for every n-gram, which has that many words."""
+        words = _words(max(self.sizes))
+        named = F.array(*[F.when(F.col(f"w{n - 1}").isNotNull(), name(n)) for n in self.sizes])
+        size = F.element_at(F.array(*[F.lit(n) for n in self.sizes]), F.col("_at") + 1)
+        inside = self.sequences.select(*words, F.posexplode(named).alias("_at", "gram")).filter(
+            F.col("gram").isNotNull()).select(*words, size.alias("size"), "gram")
+        if self.borders is None:
+            return inside
+        across = F.coalesce(*[F.when(F.col("size") == n, name(n)) for n in self.sizes])
+        return inside.unionAll(self.borders.select(*words, "size", across.alias("gram")))
+
+
 def ngram_counts(docs: DataFrame, tokens: str, sizes: tuple[int, ...] = (1, 2, 3),
                  stitch_order: list[str] | None = None) -> DataFrame:
-    """(phrase, count) over all documents; counts are combined before the shuffle.
+    """(phrase, count) over all documents; counts are combined before the shuffle."""
+    grams = Grams(docs, tokens, sizes, stitch_order, settle=False)
+    return grams.rows().groupBy(_phrase(max(sizes)).alias("phrase")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def frequent_ngrams(grams: Grams, k: int = 500, buckets: int = BUCKETS) -> DataFrame:
+    """(phrase, count) of all n-grams that can be among the ``k`` most frequent, and perhaps a few more.
 
-    With ``stitch_order`` the documents form one token stream in that order and phrases across
-    their borders count too.
+    A sketch prunes the rest exactly. The first pass adds up hashed n-grams in a fixed number of buckets; a
+    bucket's total bounds each of its n-grams from above. The second counts the n-grams of the fullest
+    buckets; the k-th count bounds the result from below. The third counts the n-grams of all buckets that reach this
+    bound and are not yet counted. Only n-grams of such buckets are ever built as text and shuffled.
     """
-    letters = docs.select(*(stitch_order or []), letter_tokens(tokens).alias("_tokens"))
-    grams = F.concat(*[_grams(F.col("_tokens"), n) for n in sizes])
-    if not stitch_order or max(sizes) == 1:
-        return letters.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("count"))
-    # One pass over the texts gives both the phrases and the outer tokens of each document.
-    longest = max(sizes)
-    end = F.struct(*stitch_order, F.size("_tokens").cast("bigint").alias("_size"), _edges("_tokens", longest).alias("_edges"))
-    kind = letters.select(end.alias("end")).schema["end"].dataType
-    entries = F.concat(
-        F.transform(grams, lambda g: F.struct(g.alias("phrase"), F.lit(None).cast(kind).alias("end"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("phrase"), end.alias("end"))))
-    counted = materialise(letters.select(F.inline(entries)).groupBy("phrase", "end").agg(F.count(F.lit(1)).alias("count")))
-    # A document that occurs more than once is as many documents.
-    ends = counted.filter("phrase IS NULL").select(
-        "end.*", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_copy"))
-    borders = border_grams(ends, [*stitch_order, "_copy"], longest)
-    spaces = F.size(F.split("phrase", " "))
-    phrases = counted.filter("phrase IS NOT NULL").select("phrase", "count").unionAll(
-        borders.filter(spaces.isin(*sizes)).select("phrase", F.lit(1).cast("bigint").alias("count")))
-    return phrases.groupBy("phrase").agg(F.sum("count").alias("count"))
+    def hashed(n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(n), *_words(n)), F.lit(buckets)).cast("int")
+
+    totals = settled(grams.rows(hashed).groupBy(F.col("gram").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("total")), "buckets")
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        # Never more rows than there are buckets.
+        wanted = F.broadcast(chosen.select(F.col("bucket").alias("gram")))
+        found = grams.rows(hashed).join(wanted, "gram", "left_semi")
+        return found.groupBy(_phrase(max(grams.sizes)).alias("phrase")).agg(F.count(F.lit(1)).alias("count"))
+
+    # Enough buckets for k n-grams; ties at the border are all taken, so nothing hangs on their order.
+    edge = totals.orderBy(F.desc("total"), "bucket").limit(2 * k).agg(F.min("total").alias("edge")).scalar()
+    first = settled(counted(totals.filter(F.col("total") >= edge)), "counted")
+    ranked = first.orderBy(F.desc("count")).limit(k)
+    bound = ranked.agg(F.when(F.count(F.lit(1)) >= k, F.min("count")).otherwise(F.lit(0)).alias("bound")).scalar()
+    return first.unionAll(counted(totals.filter((F.col("total") < edge) & (F.col("total") >= bound))))
 
 
 def top_ngrams(counts: DataFrame, k: int = 500) -> DataFrame:

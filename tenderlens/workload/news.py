@@ -270,6 +270,12 @@ def _counts(spark, sf, stitched=False):
     return ph.ngram_counts(docs, "tokens", stitch_order=["doc_id"] if stitched else None)
 
 
+def _top(spark, sf, stitched=False):
+    docs = _clean_tokens(_docs(spark, sf).select("doc_id", "text"))
+    grams = ph.Grams(docs, "tokens", stitch_order=["doc_id"] if stitched else None)
+    return ph.top_ngrams(ph.frequent_ngrams(grams))
+
+
 @query("unigram_counts", _sql('SELECT phrase, count(*) AS "count" FROM grams WHERE words = 1 GROUP BY phrase', _GRAMS))
 def _(spark, sf):
     return ph.ngram_counts(_clean_tokens(_docs(spark, sf)), "tokens", (1,))
@@ -287,12 +293,12 @@ def _(spark, sf):
 
 @query("top_ngrams", _sql('SELECT phrase, "count" FROM counts ORDER BY "count" DESC, phrase LIMIT 500', _GRAMS))
 def _(spark, sf):
-    return ph.top_ngrams(_counts(spark, sf))
+    return _top(spark, sf)
 
 
 @query("top_ngrams_stitched", _sql('SELECT phrase, "count" FROM counts ORDER BY "count" DESC, phrase LIMIT 500', _STREAM))
 def _(spark, sf):
-    return ph.top_ngrams(_counts(spark, sf, stitched=True))
+    return _top(spark, sf, stitched=True)
 
 
 @query("distinct_phrases", _sql("SELECT count(*) AS n_phrases FROM counts", _GRAMS))

@@ -199,3 +199,44 @@ def test_top_ngrams_break_ties_by_phrase(spark):
     df = spark.createDataFrame([(["b", "a", "c", "c"],)], "tokens array<string>")
     top = ph.top_ngrams(ph.ngram_counts(df, "tokens", (1,)), 2).collect()
     assert [tuple(r) for r in top] == [("c", 2), ("a", 1)]
+
+
+@pytest.mark.parametrize("stitch", [None, ["doc"]])
+@pytest.mark.parametrize("k, buckets", [(1, 64), (7, 64), (30, 4096), (10_000, 64)])
+def test_sketch_finds_the_most_frequent(spark, stitch, k, buckets):
+    from collections import Counter
+    rng = random.Random(2)
+    words = [chr(97 + i) * (i % 3 + 1) for i in range(20)]
+    docs = [(i, rng.choices(words, [2 ** (i % 7) for i in range(20)], k=rng.randrange(12))) for i in range(80)]
+    docs += [(100, ["x1", "", "a", "b"]), (101, None), (102, []), (102, ["z"])]
+    df = spark.createDataFrame(docs, "doc int, t array<string>")
+    grams = ph.Grams(df, "t", stitch_order=stitch)
+    got = ph.top_ngrams(ph.frequent_ngrams(grams, k, buckets), k).collect()
+    clean = [[w for w in d or [] if w.isalpha()] for _, d in docs]
+    streams = clean if stitch is None else [[w for d in clean for w in d]]
+    if stitch:      # documents 102 may come in either order; both are checked against the plain count
+        plain = ph.ngram_counts(df, "t", stitch_order=stitch)
+        assert sum(r["count"] for r in plain.collect()) == sum(max(0, len(streams[0]) - n + 1) for n in (1, 2, 3))
+    want = Counter(" ".join(s[i:i + n]) for s in streams for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    best = sorted(want.items(), key=lambda p: (-p[1], p[0]))[:k]
+    assert [tuple(r) for r in got] == best
+
+
+def test_sketch_shuffles_few_grams(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    docs = [(i, [words[(i * 7 + j * j * (i % 5 + 1) + j * i) % 400] if j % 3 else words[j % 9] for j in range(200)]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc int, t array<string>")
+    grams = ph.Grams(df, "t")
+    everything = grams.rows().count()
+    kept = ph.frequent_ngrams(grams, 5)
+    plain = ph.ngram_counts(df, "t")
+    assert [tuple(r) for r in ph.top_ngrams(kept, 5).collect()] == [tuple(r) for r in ph.top_ngrams(plain, 5).collect()]
+    assert kept.count() < 0.05 * everything
+
+
+def test_long_texts_and_odd_marks(spark):
+    rows = [(0, "Cats: dogs. " * 50_000), (1, "no end"), (2, "Only (one). "), (3, "One. Two? (x. y) Three! the"), (4, "::: . . ! ? "), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = {r["i"]: r["t"] for r in df.select("i", tx.clean_tokens("text", ["the"]).alias("t")).collect()}
+    assert got[0] == ["cat", "dog"] * 49_999 and got[1] == got[2] == got[4] == got[6] == [] and got[5] is None
+    assert got[3] == ["one", "two"]
