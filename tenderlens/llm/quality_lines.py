@@ -6,7 +6,7 @@ document that loses more than ``max_lost`` of its word characters is rejected, a
 few words or with too many words in repeated five-word windows.
 
 Null and empty texts have no words and are rejected. Every text is judged whole, within its row:
-nothing is shuffled.
+nothing is shuffled. Lines of any length are judged without recursion.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ NOTICE = ("all rights reserved|licensed under|released under|copyright|terms of
 NOISY = rf"(?:[{SYMBOLS}]|!!)(?:[\x20\x09-\x0D]|$)"
 SEPARATOR = r"(?:^|[\x20\x09-\x0D])(?:\||>|»|›|·|•)(?:[\x20\x09-\x0D]|$)"
 MENU_LINE = rf"^[\x20\x09-\x0D]*(?:(?:{MENU})[\x20\x09-\x0D|>»›·•]*)+$"
+# The same lines for Java, which calls itself once per round of a repeated group unless it is possessive. With the
+# longer of two items first nothing is lost by never going back: no item starts with the rest of another.
+MENU_RUN = rf"^[\x20\x09-\x0D]*+(?:(?:{'|'.join(sorted(MENU.split('|'), key=len, reverse=True))})[\x20\x09-\x0D|>»›·•]*+)++$"
 
 
 def word_list(text: Column) -> Column:
@@ -39,7 +42,7 @@ def line_fails(line: Column) -> Column:
     noisy = F.regexp_count(line, F.lit(NOISY))
     cells = F.regexp_count(line, F.lit(SEPARATOR))
     punctuation = noisy * 10 > words * 3
-    navigation = ((cells >= 2) & (cells * 4 >= words)) | F.lower(line).rlike(MENU_LINE)
+    navigation = ((cells >= 2) & (cells * 4 >= words)) | F.lower(line).rlike(MENU_RUN)
     boilerplate = (words <= 20) & F.lower(line).rlike(NOTICE)
     return punctuation | navigation | boilerplate
 

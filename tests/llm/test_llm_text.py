@@ -77,6 +77,18 @@ def test_encode_and_count_odd_rows(odd_docs, no_docs):
     assert unigram.encode_documents(no_docs).count() == token_count.count_tokens(no_docs).count() == 0
 
 
+def test_menu_lines_of_any_length(spark):
+    """A repeated group would overflow the stack; both patterns agree on what a menu line is."""
+    lines = ["home " * 1_000_000, "| " * 1_000_000, "home | about us» contact us", "homemenu", "contact us about", "about usual", "homes",
+             "log in·log out", "", "us", "home " * 1000 + "stead", " \t back\x0b", "about ush", "contact us help"]
+    df = spark.createDataFrame([(i, x + "\nplain words that stay here") for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_bad_lines for r in quality_lines.line_first_rules(df).collect()}
+    assert got[0] == got[1] == 1
+    short = {i: x for i, x in enumerate(lines) if 0 < len(x) < 10_000}
+    assert {i: got[i] for i in short} == {
+        i: int(bool(re.search(quality_lines.MENU_LINE, x.lower())) or x.startswith("home |")) for i, x in short.items()}
+
+
 def test_quality_rules_on_odd_rows(spark, odd_docs, no_docs):
     for r in quality_lines.line_first_rules(odd_docs).join(odd_docs.select("doc_id", "text"), "doc_id").collect():
         words = WORDS.findall(r.text or "")
