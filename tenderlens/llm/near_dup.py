@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm.components import connected_components
-from tenderlens.llm.registry import groups_for, query, table
+from tenderlens.llm.registry import groups_for, query, settled_table, table
 from tenderlens.session import materialise
 
 CHUNK = 500                     # sets of a family verified at once
@@ -378,10 +378,23 @@ def _without_id(every: DataFrame, width: int) -> DataFrame:
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                  percent: int = 80) -> DataFrame:
-    """The rows whose id leads its group, rows without an id, and nothing else; columns as given."""
-    groups = similar_groups(docs, id_col, text_col, width, percent)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of similar texts, and all rows without words; columns as given.
+
+    Rows are told apart by a tag of their own, so repeated and missing ids are documents like any others: of a group the
+    row with the smallest id stays, null ids last, and one of several with that id.
+    """
+    # The tag is settled with the row: every later step must see the same one.
+    tagged = settled_table(docs.select(
+        F.monotonically_increasing_id().alias("tag"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "tagged")
+    groups = similar_groups(tagged.select("tag", F.col("row")[text_col].alias("text")), "tag", "text", width, percent)
+    linked = materialise(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("tag"), F.col("component_id").alias("group")))
+    linked = linked.unionByName(linked.select(F.col("group").alias("tag"), "group").distinct())
+    ids = tagged.select("tag", F.col("row")[id_col].alias("id"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
+    named = linked.join(ids, "tag").select("tag", "group", order.alias("order"))
+    first = named.groupBy("group").agg(F.min("order").alias("first"))
+    gone = named.join(first, "group").filter(F.col("tag") != F.col("first.tag")).select("tag")
+    return tagged.join(gone, "tag", "left_anti").select("row.*")
 
 
 _SQL = """
