@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlens.functions.measures import (correlation_direction, correlation_strength,
                                            pair_correlation, pair_count)
@@ -11,29 +16,98 @@ from tenderlens.operators.filters import complete_cases
 from tenderlens.session import scalars
 
 
+# Below this share of the mean a deviation is rounding: the values are constant.
+_CONSTANT = 1e-13
+_MOMENTS = "x int, y int, n long, mean_x double, mean_y double, m2_x double, m2_y double, c double, rows long"
+
+
+def pair_moments(values: np.ndarray) -> np.ndarray:
+    """(6, k, k): for every two columns n, both means, both sums of squares and the sum of products, over the
+    rows where both are present (NaN is missing). Sums are taken about the columns' means."""
+    present = ~np.isnan(values)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = np.nan_to_num(np.where(present, values, 0).sum(0) / present.sum(0))
+        apart = np.where(present, values - centre, 0.0)
+        seen = present.astype(float)
+        n, first, second = seen.T @ seen, apart.T @ seen, (apart ** 2).T @ seen
+        mean = np.nan_to_num(first / n)
+        squares = second - first * mean
+        squares[squares <= _CONSTANT * second] = 0.0
+        products = apart.T @ apart - first * mean.T
+    return np.stack([n, centre[:, None] + mean, centre[None] + mean.T, squares, squares.T, products])
+
+
+def merged_moments(parts: np.ndarray) -> np.ndarray:
+    """Moments (parts, 6, ...) of disjoint rows put together."""
+    n, mean_x, mean_y, m2_x, m2_y, c = np.moveaxis(parts, 1, 0)
+    total = n.sum(0)
+    share = n / np.maximum(total, 1)
+    held = np.argmax(n > 0, axis=0)[None]
+
+    def centred(mean):
+        first = np.take_along_axis(mean, held, 0)
+        middle = first + (share * np.where(n > 0, mean - first, 0)).sum(0)
+        return middle[0], np.where(n > 0, mean - middle, 0)
+
+    (at_x, off_x), (at_y, off_y) = centred(mean_x), centred(mean_y)
+    return np.stack([total, at_x, at_y, (m2_x + n * off_x ** 2).sum(0), (m2_y + n * off_y ** 2).sum(0),
+                     (c + n * off_x * off_y).sum(0)])
+
+
 def _long_pairs(df: DataFrame, group: list[str], pairs: list[tuple[str, str]],
                 rows_needed: int = 0) -> DataFrame:
-    """All pair statistics from one aggregation, one output row per pair (and group).
+    """All pair statistics from one pass, one output row per pair (and group).
 
-    Each row is expanded to its column pairs inside the task and reduced there before the shuffle.
-    With one aggregate per pair instead, the generated code outgrows what the JVM compiles.
+    Every task keeps one matrix of pair moments per group, which a batch of rows updates by a few matrix products;
+    what is shuffled is one row per task, group and pair. Moments are taken about means, so large
+    offsets do no harm.
     """
-    wanted: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(columns)}
+    # A pair both ways round is computed once.
+    names: dict[tuple[int, int], list[tuple[str, str]]] = {}
     for a, b in pairs:
-        wanted.setdefault((b, a) if (b, a) in wanted else (a, b), []).append((a, b))
-    x, y = F.col("_x"), F.col("_y")
-    expanded = df.select(*group, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"),
-                 F.col(b).cast("double").alias("_y"))
-        for i, (a, b) in enumerate(wanted)])))
-    table = expanded.groupBy(*group, "_pair").agg(
-        F.count(F.lit(1)).alias("_rows"), pair_correlation(x, y).alias("r"),
-        pair_count(x, y).alias("n_obs"))
-    labels = F.array(*[
-        F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in names])
-        for names in wanted.values()])
-    return (table.filter(F.col("_rows") >= rows_needed)
-            .select(*group, F.inline(labels[F.col("_pair")]), "r", "n_obs"))
+        names.setdefault((min(at[a], at[b]), max(at[a], at[b])), []).append((a, b))
+    keys = [f"_g{i}" for i in range(len(group))]
+    given = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys)],
+                      *[F.col(c).cast("double").alias(f"_v{i}") for c, i in at.items()])
+    key_fields = [T.StructField(k, given.schema[k].dataType) for k in keys]
+    schema = T.StructType([*key_fields, *T.StructType.fromDDL(_MOMENTS).fields])
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, tuple[np.ndarray, int]] = {}
+        for frame in batches:
+            groups = frame.groupby(keys, dropna=False, sort=False) if keys else [((), frame)]
+            for key, part in groups:
+                new = pair_moments(part[[f"_v{i}" for i in range(len(columns))]].to_numpy(float))
+                key = tuple(None if pd.isna(k) else k for k in key)
+                old, rows = found.get(key, (None, 0))
+                found[key] = (new if old is None else merged_moments(np.stack([old, new])), rows + len(part))
+        for key, (m, rows) in found.items():
+            out = pd.DataFrame([(x, y, *m[:, x, y], rows) for x, y in names],
+                               columns=["x", "y", "n", "mean_x", "mean_y", "m2_x", "m2_y", "c", "rows"])
+            out["n"] = out["n"].astype("int64")
+            for k, value in zip(keys, key):
+                out[k] = pd.Series([value] * len(out), dtype=object)
+            yield out[[*keys, *out.columns[:9]]]
+
+    def correlate(frame: pd.DataFrame) -> pd.DataFrame:
+        # One row per task that met the group.
+        n, at_x, at_y, m2_x, m2_y, c = merged_moments(
+            frame[["n", "mean_x", "mean_y", "m2_x", "m2_y", "c"]].to_numpy(float))
+        varies = n > 1 and m2_x > n * (_CONSTANT * at_x) ** 2 and m2_y > n * (_CONSTANT * at_y) ** 2
+        out = frame[[*keys, "x", "y"]].head(1).copy()
+        out["r"], out["n_obs"], out["rows"] = [c / np.sqrt(m2_x * m2_y) if varies else None], int(n), int(frame["rows"].sum())
+        return out
+
+    merged_schema = T.StructType([*key_fields, *T.StructType.fromDDL("x int, y int, r double, n_obs long, rows long").fields])
+    table = given.mapInPandas(moments, schema).groupBy(*keys, "x", "y").applyInPandas(correlate, merged_schema)
+    labels = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"))
+                       for (x, y), both in names.items() for a, b in both])
+    mine = F.filter(labels, lambda e: (e["x"] == F.col("x")) & (e["y"] == F.col("y")))
+    return table.filter(F.col("rows") >= rows_needed).select(
+        *[F.col(k).alias(g) for k, g in zip(keys, group)], F.explode(mine).alias("_pair"), "r", "n_obs",
+    ).select(*group, "_pair.col_a", "_pair.col_b", "r", "n_obs")
 
 
 def corr_matrix(df: DataFrame, columns: list[str], group: list[str] = (), min_rows: int = 0) -> DataFrame:

@@ -26,6 +26,9 @@ from tenderlens.workload.registry import near, query, settled
 from tenderlens.workload.views import using
 
 
+ARRAY_RECORDS = 10_000      # records of one array file
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, which all executors share."""
     ensure_checkpoint_dir(spark)
@@ -451,9 +454,9 @@ def _(spark, sf):
 
 @query("read_auction_array", _sql("SELECT cusip, security_type, count(*) AS n FROM records GROUP BY ALL", "records"))
 def _(spark, sf):
-    """Sixteen or so files, each one JSON array."""
+    """Files of some thousand records, each one JSON array."""
     folder = scratch(spark)
-    rows = raw_records(spark, sf).withColumn("part", F.col("arrival") % 16).drop("arrival")
+    rows = raw_records(spark, sf).withColumn("part", F.floor(F.col("arrival") / ARRAY_RECORDS)).drop("arrival")
     arrays = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*schemas.API_FIELDS))).alias("value"))
     arrays.write.partitionBy("part").text(folder)
     read = records.read_auction_json(spark, folder)

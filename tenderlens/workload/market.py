@@ -230,6 +230,24 @@ def _(spark, sf):
     return joins.orphans(v.auctions(spark, sf), v.bidders(spark, sf), "auction_id", ["auction_id", "cusip"])
 
 
+# Parents of which some are missing, so that there are orphans to find.
+_LOST = {"known": "SELECT * FROM securities WHERE cusip % 10 <> 3", "listed": "SELECT * FROM auctions WHERE auction_id % 8 <> 5"}
+
+
+@query("orphan_auctions_lost", using("auctions securities", """SELECT auction_id, cusip FROM auctions a
+    WHERE NOT EXISTS (SELECT 1 FROM known s WHERE s.cusip = a.cusip)""", known=_LOST["known"]))
+def _(spark, sf):
+    known = v.securities(spark, sf).filter("cusip % 10 <> 3")
+    return joins.orphans(v.auctions(spark, sf), known, "cusip", ["auction_id", "cusip"])
+
+
+@query("orphan_bidders_lost", using("auctions bidders", """SELECT auction_id FROM bidders b
+    WHERE NOT EXISTS (SELECT 1 FROM listed a WHERE a.auction_id = b.auction_id)""", listed=_LOST["listed"]))
+def _(spark, sf):
+    listed = v.auctions(spark, sf).filter("auction_id % 8 <> 5")
+    return joins.orphans(v.bidders(spark, sf), listed, "auction_id", ["auction_id"])
+
+
 # --- aggregations ------------------------------------------------------------------------
 
 
@@ -586,6 +604,26 @@ def _(spark, sf):
     return reshape.type_series(v.facts(spark, sf), "fima_percentage", ("fima_accepted",))
 
 
+@query("type_series_soma", using("facts", """SELECT auction_id, auction_date, security_type,
+    soma_percentage AS value, soma_accepted FROM facts WHERE soma_percentage IS NOT NULL"""))
+def _(spark, sf):
+    return reshape.type_series(v.facts(spark, sf), "soma_percentage", ("soma_accepted",))
+
+
+@query("type_series_spread", using("facts", """SELECT auction_id, auction_date, security_type,
+    round(high_yield - low_yield, 6) AS value FROM facts WHERE high_yield IS NOT NULL AND low_yield IS NOT NULL"""))
+def _(spark, sf):
+    return rounded(reshape.type_series(flt.yield_spread(v.facts(spark, sf)), "yield_spread"))
+
+
+@query("type_series_discount", using("facts", """SELECT auction_id, auction_date, security_type,
+    round(high_discount_rate - low_discount_rate, 6) AS value FROM facts
+    WHERE high_discount_rate IS NOT NULL AND low_discount_rate IS NOT NULL"""))
+def _(spark, sf):
+    return rounded(reshape.type_series(flt.yield_spread(
+        v.facts(spark, sf), "high_discount_rate", "low_discount_rate", "discount_spread"), "discount_spread"))
+
+
 @query("type_series_fed_total", using("facts", """SELECT auction_id, auction_date, security_type,
     round(coalesce(fima_percentage, 0) + coalesce(soma_percentage, 0), 6) AS value FROM facts
     WHERE fima_percentage IS NOT NULL OR soma_percentage IS NOT NULL"""))

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -66,6 +67,38 @@ def test_listwise_matrix(wide):
             same(got[kind, "a", "c"], complete.corr().loc["a", "c"])
 
 
+def test_large_offsets_do_no_harm(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3))
+    x[:, 1] += x[:, 0]
+    data = pd.DataFrame(1e6 + x, columns=["a", "b", "c"])
+    data.loc[::7, "b"] = np.nan
+    data["kind"] = ["k", None, "l"] * 1000
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), "a double, b double, c double, kind string").repartition(5)
+    got = {(r["kind"], r["col_a"], r["col_b"]): r for r in corr.corr_matrix(df, ["a", "b", "c"], ["kind"]).collect()}
+    assert len(got) == 27
+    for kind, part in data.groupby("kind", dropna=False):
+        want = (part[["a", "b", "c"]] - 1e6).corr()
+        for a in "abc":
+            for b in "abc":
+                row = got[None if pd.isna(kind) else kind, a, b]
+                assert row["r"] == pytest.approx(want.loc[a, b], abs=1e-9)
+                assert row["n_obs"] == part[list({a, b})].dropna().shape[0]
+
+
+def test_constant_where_both_are_present(spark):
+    rows = [(0.1 * 3, float(i), "x") for i in range(40)] + [(float(i), None, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, kind string").repartition(6)
+    got = {(r["col_a"], r["col_b"]): (r["r"], r["n_obs"]) for r in corr.corr_matrix(df, ["a", "b"]).collect()}
+    assert got["a", "b"] == got["b", "a"] == (None, 40) and got["a", "a"][1] == 80
+
+
+def test_no_row_is_expanded(spark):
+    df = spark.range(100).selectExpr("id % 3 AS g", *[f"double(id) AS c{i}" for i in range(8)])
+    plan = corr.corr_matrix(df, [f"c{i}" for i in range(8)], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Generate" not in plan[plan.index("MapInPandas"):]
+
+
 @pytest.mark.parametrize("n, kept", [(9, 0), (10, 1), (11, 1)])
 def test_pairs_need_ten_observations(spark, n, kept):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(n)] + [(None, 1.0)] * 5, "x double, y double")
