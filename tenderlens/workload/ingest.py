@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,25 +14,19 @@ from tenderlens.operators.ordering import with_position
 from tenderlens.operators.policy_index import daily_article_counts
 from tenderlens.operators.sections import (extract_sections, parse_article_id, parse_broken_date)
 from tenderlens.plans.ingest import AuctionStore, NewsStore, verify_load
-from tenderlens.session import ensure_checkpoint_dir, materialise
+from tenderlens.session import materialise
 from tenderlens.sources import files, records, tables
 from tenderlens.streaming.ingest import stream_ingest
 from tenderlens.workload import views as v
 from tenderlens.workload.market import _as_double
 from tenderlens.workload.news import dump_parts
-from tenderlens.workload.registry import near, query, settled
+from tenderlens.workload.registry import near, query, scratch, settled
 from tenderlens.workload.views import using
 
 
 ARRAY_RECORDS = 10_000      # records of one array file
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
-
-
 # --- parsing -----------------------------------------------------------------------------
 
 _NUMBER = "CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR)"

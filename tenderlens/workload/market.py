@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenderlens.functions import measures as m
@@ -9,8 +11,9 @@ from tenderlens.operators import aggregates as agg
 from tenderlens.operators import correlation as corr
 from tenderlens.operators import filters as flt
 from tenderlens.operators import joins, ranking, reshape, rolling
+from tenderlens.plans.facts import FactTables
 from tenderlens.workload import views as v
-from tenderlens.workload.registry import near, nears, query, rounded, rounds, settled
+from tenderlens.workload.registry import near, nears, query, rounded, rounds, scratch, settled
 from tenderlens.workload.views import AS_OF, START, using
 
 ID_ORDER = ["auction_date", "auction_id"]
@@ -205,6 +208,14 @@ def _(spark, sf):
     return v.facts(spark, sf, START)
 
 
+@query("auction_facts_bucketed", using("facts", f"SELECT {_FACT} FROM facts WHERE auction_date >= DATE '{START}'"))
+def _(spark, sf):
+    """The fact over tables stored in buckets: written once, joined without a shuffle."""
+    stored = FactTables(spark, scratch(spark), f"facts_{uuid.uuid4().hex}", buckets=8)
+    stored.save(v.auctions(spark, sf), v.securities(spark, sf), v.bidders(spark, sf))
+    return stored.facts(START)
+
+
 @query("bidder_facts", using("typed bidders", """SELECT t.auction_id, t.security_type,
     b.indirect_bidder_percentage, b.fima_accepted FROM typed t JOIN bidders b ON t.auction_id = b.auction_id"""))
 def _(spark, sf):

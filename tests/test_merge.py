@@ -294,3 +294,28 @@ def test_news_store(spark, tmp_path):
         got = dict(map(tuple, store.load(articles, scores, phrases, batch).collect()))
     assert got == {"fiscal_articles": 1, "fiscal_policy_indices": 1, "top_phrases": 2, "top phrase: cut": 8,
                    "sample article: 1 2024-01-02 true false": 1, "sample index: 2024-01-02 1": 1}
+
+
+def test_bucketed_facts_are_joined_without_a_shuffle(spark, tmp_path):
+    from tenderlens.operators.joins import auction_facts
+    from tenderlens.plans.facts import ALL_KEYS, FactTables
+    day = dt.date(2024, 1, 1)
+    known = merge.conform(spark.createDataFrame(
+        [(i, None if i == 9 else f"c{i % 4}", day + dt.timedelta(days=i), float(i)) for i in range(30)],
+        "auction_id long, cusip string, auction_date date, high_yield double"), schemas.AUCTIONS)
+    securities = merge.conform(spark.createDataFrame([(f"c{i}", "Bill") for i in range(3)], "cusip string, security_type string"), schemas.SECURITIES)
+    bidders = merge.conform(spark.createDataFrame([(i, 1.0) for i in range(0, 40, 2)], "auction_id long, fima_accepted double"), schemas.BIDDER_DETAILS)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", ALL_KEYS)}
+    stored = FactTables(spark, str(tmp_path), f"t{tmp_path.name.replace('-', '_')}", buckets=4)
+    stored.save(known, securities, bidders)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        facts = stored.facts("2024-01-05")
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        want = auction_facts(known, securities, bidders, "2024-01-05")
+        assert facts.columns == want.columns
+        assert sorted(map(tuple, facts.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
