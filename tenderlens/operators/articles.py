@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.functions.dictionary import COUNTRY_CATEGORY, TARIFF_CATEGORY, TERMS
-from tenderlens.functions.text import (clean_document, default_stopwords, lemmatize, occurrences,
-                                       whole_word_occurrences)
+from tenderlens.functions.text import clean_document, default_stopwords, lemmatize
 from tenderlens.operators.sections import (dedupe_first, extract_sections, parse_article_id,
                                            parse_broken_date)
 
@@ -33,26 +34,64 @@ def lemmatize_dictionary(spark: SparkSession, dictionary: Dictionary = TERMS,
     return result
 
 
-def category_hits(text, dictionary: Dictionary, whole_word: bool = False) -> dict[str, Column]:
-    """Occurrences per category as plain expressions: the text is never copied per term.
+def term_hits(text, dictionary: Dictionary, whole_word: bool = False) -> Column:
+    """Occurrences per category, as an array in the order of the dictionary; null for a missing text.
 
-    A term listed more than once in the dictionary weighs that often in each of its categories.
+    One pass over the text finds all terms at once (Aho-Corasick, built once per task), whatever their number.
+    A term's occurrences do not overlap each other, but those of different terms may. A term listed more
+    than once weighs that often in each of its categories. With ``whole_word`` only occurrences between
+    blanks or the ends of the text count.
     """
-    count = whole_word_occurrences if whole_word else occurrences
     weight = Counter(t for terms in dictionary.values() for t in terms)
-    return {
-        category: reduce(lambda a, b: a + b,
-                         [count(text, t) * weight[t] for t in dict.fromkeys(terms)])
-        for category, terms in dictionary.items()
-    }
+    owners: dict[str, list[int]] = {}
+    for at, terms in enumerate(dictionary.values()):
+        for term in dict.fromkeys(terms):
+            owners.setdefault(term, []).append(at)
+    size = len(dictionary)
+
+    @F.arrow_udf("array<bigint>")
+    def hits(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for number, (term, categories) in enumerate(owners.items()):
+            finder.add_word(term, (number, len(term), weight[term], categories))
+        if owners:
+            finder.make_automaton()
+
+        def count(value: str | None) -> list[int] | None:
+            if value is None:
+                return None
+            found, ends = [0] * size, {}
+            for last, (number, length, times, categories) in finder.iter(value) if owners else ():
+                start = last + 1 - length
+                if start < ends.get(number, 0):
+                    continue
+                if whole_word and ((start and value[start - 1] != " ") or value[last + 1:last + 2] not in ("", " ")):
+                    continue
+                ends[number] = last + 1
+                for category in categories:
+                    found[category] += times
+            return found
+
+        for column in columns:
+            yield pa.array([count(v) for v in column.to_pylist()], pa.list_(pa.int64()))
+
+    return hits(F.col(text) if isinstance(text, str) else text)
+
+
+def category_hits(text, dictionary: Dictionary, whole_word: bool = False) -> dict[str, Column]:
+    """The occurrences of each category by name, all from one pass."""
+    hits = term_hits(text, dictionary, whole_word)
+    return {category: hits[at] for at, category in enumerate(dictionary)}
 
 
 def count_terms(docs: DataFrame, key: str, text: str, dictionary: Dictionary,
                 whole_word: bool = False) -> DataFrame:
     """(key, category, hits) for categories that occur in the document (X11)."""
-    hits = category_hits(text, dictionary, whole_word)
-    entries = F.array(*[F.struct(F.lit(c).alias("category"), h.alias("hits")) for c, h in hits.items()])
-    return docs.select(key, F.explode(entries).alias("hit")).select(key, "hit.*").filter(F.col("hits") > 0)
+    names = F.array(*[F.lit(c) for c in dictionary])
+    found = docs.select(key, F.posexplode(term_hits(text, dictionary, whole_word)).alias("_at", "hits"))
+    return found.filter(F.col("hits") > 0).select(key, names[F.col("_at")].alias("category"), "hits")
 
 
 def is_fiscal(text, dictionary: Dictionary, whole_word: bool = False) -> Column:
@@ -64,8 +103,7 @@ def is_fiscal(text, dictionary: Dictionary, whole_word: bool = False) -> Column:
 
 def has_tariff(text, dictionary: Dictionary) -> Column:
     """Any trade term occurs, whatever else does."""
-    column = F.col(text) if isinstance(text, str) else text
-    return reduce(lambda a, b: a | b, [column.contains(t) for t in dictionary[TARIFF_CATEGORY]])
+    return category_hits(text, dictionary)[TARIFF_CATEGORY] > 0
 
 
 def classify(docs: DataFrame, text: str, dictionary: Dictionary, whole_word: bool = False) -> DataFrame:

@@ -240,3 +240,32 @@ def test_long_texts_and_odd_marks(spark):
     got = {r["i"]: r["t"] for r in df.select("i", tx.clean_tokens("text", ["the"]).alias("t")).collect()}
     assert got[0] == ["cat", "dog"] * 49_999 and got[1] == got[2] == got[4] == got[6] == [] and got[5] is None
     assert got[3] == ["one", "two"]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_ten_thousand_terms(spark, whole):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    terms = [t for t in dict.fromkeys(letters(rng.randrange(1, 9)).strip() for _ in range(30_000)) if t and "  " not in t][:10_000]
+    dictionary = {"even": terms[::2] + terms[:3], "odd": terms[1::2], "all": terms, "none": ["zzz"]}
+    docs = [(i, " ".join(letters(rng.randrange(400)).split())) for i in range(30)] + [(90, None), (91, ""), (92, "aaaa aa a")]
+    got = {(r["i"], r["category"]): r["hits"] for r in art.count_terms(
+        spark.createDataFrame(docs, "i int, t string"), "i", "t", dictionary, whole_word=whole).collect()}
+    want = {}
+    for i, t in docs:
+        for category, listed in dictionary.items():
+            for term in dict.fromkeys(listed):
+                times = sum(x.count(term) for x in dictionary.values())
+                spaced = f" {(t or '').replace(' ', '  ')} "
+                n = spaced.count(f" {term.replace(' ', '  ')} ") if whole else (t or "").count(term)
+                if n:
+                    want[i, category] = want.get((i, category), 0) + n * times
+    assert got == want
+
+
+def test_texts_are_passed_over_once(spark):
+    df = spark.createDataFrame([("tariff on america", 1)], "t string, i int")
+    plan = art.classify(df, "t", TERMS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("hits(t") == 1
+    row = art.classify(spark.createDataFrame([(None,)], "t string"), "t", TERMS).first()
+    assert row["is_fiscal_article"] is None and row["has_tariff"] is None
