@@ -77,7 +77,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     found = asked.withColumn("response", F.coalesce("near", "far"))
 
     def check(name: str) -> Column:
-        return F.col("response.headers")[name] == F.col("headers")[name]
+        return opaque(F.col("response.headers")[name]) == opaque(F.col("headers")[name])
 
     agrees = F.coalesce(check("etag"), check("last-modified"), F.lit(False))
     outcome = F.when(F.col("response").isNull(), "orphan").when(agrees, "resolved").otherwise("conflict")
@@ -93,6 +93,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return out.unionByName(lost)
 
 
+def opaque(validator: Column) -> Column:
+    """A validator without blanks around it and without the mark of a weak one: not-modified answers compare weakly."""
+    return F.regexp_replace(F.trim(validator), "^W/", "")
+
+
 def capture_log(pages: DataFrame) -> DataFrame:
     """Archive records of the pages: each is fetched in full and asked for again later, as its id tells.
 

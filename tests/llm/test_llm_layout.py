@@ -133,3 +133,13 @@ def test_pipeline_of_odd_rows(spark, sf, odd_docs, no_docs, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).write.parquet(str(tmp_path / f"{number}-{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{number}-{name}"))
+
+
+@pytest.mark.parametrize("stored, asked, outcome", [
+    ('"v1"', 'W/"v1"', "resolved"), ('W/"v1"', '"v1"', "resolved"), ('W/"v1"', ' W/"v1" ', "resolved"),
+    ('W/"v1"', 'W/"v2"', "conflict"), ('"W/v1"', '"v1"', "conflict"), (None, 'W/"v1"', "conflict")])
+def test_weak_validators(spark, stored, asked, outcome):
+    rows = [(1, "http://a.b/c", 1, "response", {"etag": stored} if stored else {}, "d"),
+            (2, "http://a.b/c", 2, "revisit", {"etag": asked}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, headers map<string,string>, payload_digest string")
+    assert revisits.resolve_revisits(df).first().outcome == outcome
