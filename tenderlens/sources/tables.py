@@ -51,7 +51,8 @@ class PartitionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], part: Column):
-        self.spark, self.path, self.schema, self.keys, self.part = spark, path.rstrip("/"), schema, keys, part
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        self.part = F.coalesce(part.cast("int"), F.lit(-1))     # a key without a value has a folder too
         self._stored = T.StructType([*schema.fields, T.StructField("first_batch", T.LongType()),
                                      T.StructField("part", T.IntegerType())])
 

@@ -198,6 +198,18 @@ def test_only_touched_folders_are_rewritten(spark, tmp_path):
     assert put(3) == {"written": 0, "inserted": 0} and table.read().count() == 202
 
 
+def test_keys_without_a_folder_value_are_kept(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "t"), schemas.INDICES, ["date"], F.year("date"))
+    day = dt.date(2024, 1, 2)
+
+    def put(batch, *rows):
+        return table.merge(spark.createDataFrame(rows, "date date, total_articles int"), batch)
+
+    assert put(0, (day, 1), (None, 2)) == {"written": 2, "inserted": 2}
+    assert put(1, (None, 3)) == {"written": 1, "inserted": 0}
+    assert {r["date"]: r["total_articles"] for r in table.read().collect()} == {day: 1, None: 3}
+
+
 def test_scan_reads_touched_folders_only(spark, tmp_path):
     table = PartitionedTable(spark, str(tmp_path), schemas.PHRASES, ["phrase"], hash_folder("phrase", folders=8))
     table.merge(spark.createDataFrame([(f"p{i}", i) for i in range(50)], "phrase string, count long"), 0)
