@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.functions.dictionary import COUNTRY_CATEGORY, TARIFF_CATEGORY, TERMS
-from tenderlens.functions.text import clean_document, default_stopwords, lemmatize
+from tenderlens.functions.text import (clean_document, default_stopwords, lemmatize, occurrences,
+                                       whole_word_occurrences)
 from tenderlens.operators.sections import (dedupe_first, extract_sections, parse_article_id,
                                            parse_broken_date)
 
@@ -80,10 +81,22 @@ def term_hits(text, dictionary: Dictionary, whole_word: bool = False) -> Column:
     return hits(F.col(text) if isinstance(text, str) else text)
 
 
-def category_hits(text, dictionary: Dictionary, whole_word: bool = False) -> dict[str, Column]:
-    """The occurrences of each category by name, all from one pass."""
-    hits = term_hits(text, dictionary, whole_word)
-    return {category: hits[at] for at, category in enumerate(dictionary)}
+def category_hits(text, dictionary: Dictionary, whole_word: bool = False, one_pass: bool = False) -> dict[str, Column]:
+    """Occurrences per category as plain expressions, one for each term: the text is never copied per term.
+
+    A term listed more than once in the dictionary weighs that often in each of its categories. ``one_pass`` takes
+    all counts from ``term_hits``, for dictionaries of more terms than a plan should hold.
+    """
+    if one_pass:
+        hits = term_hits(text, dictionary, whole_word)
+        return {category: hits[at] for at, category in enumerate(dictionary)}
+    count = whole_word_occurrences if whole_word else occurrences
+    weight = Counter(t for terms in dictionary.values() for t in terms)
+    return {
+        category: reduce(lambda a, b: a + b,
+                         [count(text, t) * weight[t] for t in dict.fromkeys(terms)])
+        for category, terms in dictionary.items()
+    }
 
 
 def count_terms(docs: DataFrame, key: str, text: str, dictionary: Dictionary,
@@ -94,22 +107,26 @@ def count_terms(docs: DataFrame, key: str, text: str, dictionary: Dictionary,
     return found.filter(F.col("hits") > 0).select(key, names[F.col("_at")].alias("category"), "hits")
 
 
-def is_fiscal(text, dictionary: Dictionary, whole_word: bool = False) -> Column:
+def is_fiscal(text, dictionary: Dictionary, whole_word: bool = False, one_pass: bool = False) -> Column:
     """At least two categories occur and one of them is the country."""
-    hits = category_hits(text, dictionary, whole_word)
+    hits = category_hits(text, dictionary, whole_word, one_pass)
     matched = reduce(lambda a, b: a + b, [(h > 0).cast("int") for h in hits.values()])
     return (matched >= 2) & (hits[COUNTRY_CATEGORY] > 0)
 
 
-def has_tariff(text, dictionary: Dictionary) -> Column:
+def has_tariff(text, dictionary: Dictionary, one_pass: bool = False) -> Column:
     """Any trade term occurs, whatever else does."""
-    return category_hits(text, dictionary)[TARIFF_CATEGORY] > 0
+    if one_pass:
+        return category_hits(text, dictionary, one_pass=True)[TARIFF_CATEGORY] > 0
+    column = F.col(text) if isinstance(text, str) else text
+    return reduce(lambda a, b: a | b, [column.contains(t) for t in dictionary[TARIFF_CATEGORY]])
 
 
-def classify(docs: DataFrame, text: str, dictionary: Dictionary, whole_word: bool = False) -> DataFrame:
+def classify(docs: DataFrame, text: str, dictionary: Dictionary, whole_word: bool = False,
+             one_pass: bool = False) -> DataFrame:
     return docs.withColumns({
-        "is_fiscal_article": is_fiscal(text, dictionary, whole_word),
-        "has_tariff": has_tariff(text, dictionary),
+        "is_fiscal_article": is_fiscal(text, dictionary, whole_word, one_pass),
+        "has_tariff": has_tariff(text, dictionary, one_pass),
     })
 
 
