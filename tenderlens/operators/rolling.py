@@ -1,9 +1,9 @@
 """Row-count rolling windows.
 
 Auction-grain input may have very few, very large partitions (a handful of security types, or
-none for the whole market). There the rows are numbered globally, cut into chunks of equal size,
-and each chunk also receives the last rows of the chunk before it, so that every frame is
-complete inside its chunk. Daily-grain input has at most 366 rows a year and uses a plain window.
+none for the whole market). There the rows are cut into slices of their order by borders taken from their
+keys, and each slice also receives the last rows before it, so that every frame is complete inside its
+slice. Rows are shuffled once and never written; only those last rows are. Daily-grain input has at most 366 rows a year and uses a plain window.
 """
 
 from __future__ import annotations
@@ -13,31 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlens.operators.ordering import with_position
+from tenderlens.operators.ordering import with_halo
 
-CHUNK_ROWS = 100_000
+SLICES_PER_TASK = 4  # more slices than tasks even out the tasks' loads
 TRADING_DAYS = 252
 
 
-def chunked_window(df: DataFrame, partition: list[str], order: list[str], reach: int,
-                   compute: Callable, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def haloed_window(df: DataFrame, partition: list[str], order: list[str], reach: int,
+                  compute: Callable, slices: int | None = None) -> DataFrame:
     """Apply ``compute(frame, window)`` where the window sees at least ``reach`` earlier rows.
 
     ``window`` is partitioned and ordered but has no frame yet. ``order`` must be unique within
-    a partition.
+    a partition. There are ``SLICES_PER_TASK`` slices a shuffle partition unless ``slices`` says otherwise.
     """
-    size = max(chunk_rows, reach + 1)
-    numbered = with_position(df, [*partition, *order], "_pos")
-    own = F.floor(F.col("_pos") / size)
-    tail = F.col("_pos") % size >= size - reach
-    copied = numbered.withColumn(
-        "_chunk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
-    window = Window.partitionBy(*partition, "_chunk").orderBy("_pos")
-    return (
-        compute(copied, window)
-        .filter(F.col("_chunk") == own)
-        .drop("_pos", "_chunk")
-    )
+    slices = slices or SLICES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_halo(df, [*partition, *order], reach, slices)
+    window = Window.partitionBy(*partition, "_slice").orderBy(*order)
+    return compute(rows, window).filter(~F.col("_halo")).drop("_slice", "_halo")
 
 
 def _guarded(value: Column, statistic: Column, window, rows: int, min_periods: int) -> Column:
@@ -47,39 +39,39 @@ def _guarded(value: Column, statistic: Column, window, rows: int, min_periods: i
 
 def rolling_mean(df: DataFrame, value: str, order: list[str], partition: list[str] = (),
                  rows: int = 30, min_periods: int = 1, name: str = "moving_avg",
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """Rolling mean over present values, per partition or over the whole market."""
     x = F.col(value).cast("double")
-    return chunked_window(
+    return haloed_window(
         df.filter(x.isNotNull()), list(partition), order, rows - 1,
         lambda frame, w: frame.withColumn(name, _guarded(x, F.avg(x), w, rows, min_periods)),
-        chunk_rows)
+        slices)
 
 
 def rolling_std(df: DataFrame, value: str, order: list[str], partition: list[str] = (),
                 rows: int = 30, min_periods: int = 5, name: str = "volatility",
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """Rolling sample deviation; missing values keep their place in the frame."""
     x = F.col(value).cast("double")
-    return chunked_window(
+    return haloed_window(
         df, list(partition), order, rows - 1,
         lambda frame, w: frame.withColumn(name, _guarded(x, F.stddev_samp(x), w, rows, min_periods)),
-        chunk_rows).filter(F.col(name).isNotNull())
+        slices).filter(F.col(name).isNotNull())
 
 
 def pct_change(df: DataFrame, value: str, order: list[str], partition: list[str] = (),
-               name: str = "change", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               name: str = "change", slices: int | None = None) -> DataFrame:
     """value / previous value - 1 (P16); null on the first row and after a zero."""
     x = F.col(value).cast("double")
-    return chunked_window(
+    return haloed_window(
         df, list(partition), order, 1,
         lambda frame, w: frame.withColumn(name, F.try_divide(x, F.lag(x).over(w)) - 1),
-        chunk_rows)
+        slices)
 
 
 def annualized_volatility(df: DataFrame, value: str, order: list[str], partition: list[str] = (),
                           rows: int = 30, min_periods: int = 10,
-                          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                          slices: int | None = None) -> DataFrame:
     """Rolling deviation of returns times sqrt(252) (W5); both windows share one shuffle."""
     x = F.col(value).cast("double")
     change = F.col("btc_returns")
@@ -89,7 +81,7 @@ def annualized_volatility(df: DataFrame, value: str, order: list[str], partition
         std = _guarded(change, F.stddev_samp(change), w, rows, min_periods)
         return returns.withColumn("volatility", std * F.sqrt(F.lit(TRADING_DAYS)))
 
-    return chunked_window(df.filter(x.isNotNull()), list(partition), order, rows, compute, chunk_rows)
+    return haloed_window(df.filter(x.isNotNull()), list(partition), order, rows, compute, slices)
 
 
 def smooth(daily: DataFrame, columns: list[str], order: str = "date",

@@ -76,12 +76,16 @@ def test_no_python_and_no_cross_join(spark, name):
 
 
 def test_market_window_is_split(spark):
-    """Rows are windowed per chunk; only per-slice counts may meet in one task."""
+    """Rows are windowed per slice; only the last rows of the slices may meet in one task."""
     rows = views.auctions(spark, SF).select("auction_date", "auction_id", "bid_to_cover_ratio")
     df = rolling_mean(rows, "bid_to_cover_ratio", ["auction_date", "auction_id"])
-    windows = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Window [" in line]
-    assert len(windows) == 2
-    assert sum("_chunk" in line for line in windows) == 1 and sum("_slice" in line for line in windows) == 1
+    text = df._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if " Window [" in line]
+    single = [line for line in windows if "windowspecdefinition(_slice" not in line]
+    assert len(windows) == 3 and len(single) == 1
+    # Below the one window without slices, ranks within a slice limit the rows.
+    limited = text[text.index(single[0]):]
+    assert "WindowGroupLimit [_slice" in limited and limited.index("WindowGroupLimit") < limited.index("FileScan")
 
 
 def test_texts_are_cleaned_once(spark):

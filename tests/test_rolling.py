@@ -39,38 +39,38 @@ def compare(df, name, expected):
             assert got[key] == pytest.approx(value, abs=1e-9), key
 
 
-@pytest.mark.parametrize("chunk", [31, 50, 10_000])
-def test_mean_per_type(frames, chunk):
+@pytest.mark.parametrize("slices", [1, 8, 60])
+def test_mean_per_type(frames, slices):
     df, pdf = frames
     present = pdf.dropna(subset=["v"])
     means = present.groupby("kind")["v"].transform(lambda s: s.rolling(30, min_periods=1).mean())
-    compare(rolling.rolling_mean(df, "v", ORDER, ["kind"], chunk_rows=chunk), "moving_avg",
+    compare(rolling.rolling_mean(df, "v", ORDER, ["kind"], slices=slices), "moving_avg",
             dict(zip(present["id"], means)))
 
 
-@pytest.mark.parametrize("chunk", [1, 40])
-def test_mean_whole_market(frames, chunk):
+@pytest.mark.parametrize("slices", [10, 500])
+def test_mean_whole_market(frames, slices):
     df, pdf = frames
     present = pdf.dropna(subset=["v"])
-    compare(rolling.rolling_mean(df, "v", ORDER, chunk_rows=chunk), "moving_avg",
+    compare(rolling.rolling_mean(df, "v", ORDER, slices=slices), "moving_avg",
             dict(zip(present["id"], present["v"].rolling(30, min_periods=1).mean())))
 
 
-@pytest.mark.parametrize("chunk", [12, 10_000])
-def test_std_keeps_gaps(frames, chunk):
+@pytest.mark.parametrize("slices", [1, 33])
+def test_std_keeps_gaps(frames, slices):
     df, pdf = frames
     std = pdf.groupby("kind")["v"].transform(lambda s: s.rolling(10, min_periods=5).std())
     expected = {k: x for k, x in zip(pdf["id"], std) if not pd.isna(x)}
-    compare(rolling.rolling_std(df, "v", ORDER, ["kind"], rows=10, chunk_rows=chunk), "volatility", expected)
+    compare(rolling.rolling_std(df, "v", ORDER, ["kind"], rows=10, slices=slices), "volatility", expected)
 
 
-@pytest.mark.parametrize("chunk", [31, 10_000])
-def test_annualized_volatility(frames, chunk):
+@pytest.mark.parametrize("slices", [1, 13])
+def test_annualized_volatility(frames, slices):
     df, pdf = frames
     present = pdf.dropna(subset=["v"]).copy()
     change = present.groupby("kind")["v"].pct_change(fill_method=None)
     vol = change.groupby(present["kind"]).transform(lambda s: s.rolling(30, min_periods=10).std()) * 252 ** 0.5
-    got = rolling.annualized_volatility(df, "v", ORDER, ["kind"], chunk_rows=chunk)
+    got = rolling.annualized_volatility(df, "v", ORDER, ["kind"], slices=slices)
     compare(got, "volatility", dict(zip(present["id"], vol)))
     compare(got, "btc_returns", dict(zip(present["id"], change)))
 
@@ -99,3 +99,40 @@ def test_positions_and_running_totals(frames):
     assert got == {k: i for i, k in enumerate(pdf["id"])}
     totals = {r["id"]: r["t"] for r in ordering.running_total(df, ORDER, "id", "t").collect()}
     assert totals == dict(zip(pdf["id"], pdf["id"].cumsum() - pdf["id"]))
+
+
+@pytest.mark.parametrize("slices", [1, 7, 300])
+def test_halo_holds_the_rows_before_each_slice(frames, slices):
+    df, pdf = frames
+    place = {k: i for i, k in enumerate(pdf["id"])}
+    found = {}
+    for r in ordering.with_halo(df, ORDER, 5, slices).collect():
+        found.setdefault(r["_slice"], ([], []))[r["_halo"]].append(place[r["id"]])
+    assert sorted(p for own, _ in found.values() for p in own) == list(range(len(pdf)))
+    for own, lent in found.values():
+        first = min(own)
+        assert sorted(own) == list(range(first, first + len(own)))
+        assert sorted(lent) == list(range(max(first - 5, 0), first))
+    # The day with a third of all rows does not fill one slice.
+    assert max(len(own) for own, _ in found.values()) < 3 * len(pdf) / slices + 1
+
+
+def test_halo_of_nulls_and_of_no_rows(spark):
+    rows = [(i, None if i % 3 else dt.date(2020, 1, i), float(i)) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "id long, day date, v double")
+    placed = sorted(rows, key=lambda r: (r[1] is not None, r[1] or dt.date.min, r[0]))
+    means = pd.Series([r[2] for r in placed]).rolling(4, min_periods=1).mean()
+    compare(rolling.rolling_mean(df, "v", ORDER, rows=4, slices=6), "moving_avg",
+            dict(zip([r[0] for r in placed], means)))
+    assert rolling.rolling_mean(df.limit(0), "v", ORDER, rows=4).collect() == []
+
+
+def test_rolling_window_shuffles_rows_once_and_writes_none(frames):
+    df, _ = frames
+    mean = rolling.rolling_mean(df, "v", ORDER, ["kind"])
+    mean.collect()
+    plan = mean._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    assert "rangepartitioning" not in plan
+    # The rows, the rows they lend on the way to one task, and those on the way to their slices.
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 2 and "ReusedExchange" in plan
+    assert plan.count("Exchange SinglePartition") == 1
