@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ PAGE = T.StructType([
     T.StructField("totalResultsCount", T.LongType()),
 ])
 
+RECORD_CHARS = 1 << 28  # a record that crosses file splits may be this long
+
 
 def with_arrival(df: DataFrame, name: str = "arrival") -> DataFrame:
     """File rows in arrival order: by file path, then by place in the file.
@@ -32,13 +34,86 @@ def with_arrival(df: DataFrame, name: str = "arrival") -> DataFrame:
 def read_auction_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Flat records, every field a string, with their arrival order.
 
-    A file holding one JSON array is read by one task; give very large extracts as JSON lines
-    (``multi_line=False``), which split.
+    A file holding one JSON array is read by one task; ``read_auction_array`` reads very large ones by many.
     """
     raw = spark.read.schema(API_RECORD).option("multiLine", str(multi_line).lower()).json(path)
     return with_arrival(raw)
 
 
+def _braces(segments: Column, parity: int) -> Column:
+    outside = F.array_join(F.filter(segments, lambda _, at: at % 2 == parity), "")
+    return F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text up to each closing brace, with its unescaped quotes and the braces it opens.
+
+    Which braces stand outside strings depends on whether the piece begins inside one: ``opens`` holds both counts.
+    """
+    scan = with_arrival(spark.read.option("lineSep", "}").text(path))
+    segments = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    return scan.select("arrival.*", "value", segments.alias("segments")).select(
+        "path", "start", "row", "value", (F.size("segments") - 1).alias("quotes"),
+        F.array(_braces(F.col("segments"), 0), _braces(F.col("segments"), 1)).alias("opens"))
+
+
+def _net(inside: Column) -> Column:
+    """Change of depth by a piece that begins inside a string (1) or not (0)."""
+    return F.get("opens", inside.cast("int")) - F.when((inside + F.col("quotes")) % 2 == 0, 1).otherwise(0)
+
+
+def read_auction_array(spark: SparkSession, path: str, record_chars: int = RECORD_CHARS) -> DataFrame:
+    """Flat records of JSON arrays of any size, each file read by as many tasks as it has splits.
+
+    The text is cut at closing braces. Whether such a brace ends a record depends on all quotes and braces above it;
+    that state crosses splits as two counters each. A record whose strings hold braces, that has nested values or
+    that crosses splits is put together again. Objects one after the other, or one a line, are read alike. Text
+    that is no JSON gives records without values; after a lone quote or brace that holds for the rest of its file. So
+    does a record over splits that is longer than ``record_chars``. No files or empty arrays give no rows.
+    """
+    split = Window.partitionBy("path", "start").orderBy("row")
+    earlier = split.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = _pieces(spark, path).withColumn("_quotes", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)))
+    # One row per split.
+    sums = pieces.groupBy("path", "start").agg(
+        F.sum("quotes").alias("q"), *[F.sum(_net((F.col("_quotes") + i) % 2)).alias(f"n{i}") for i in (0, 1)])
+    above = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    quoted = sums.withColumn("_inside", F.coalesce(F.sum("q").over(above), F.lit(0)) % 2)
+    states = quoted.withColumn("_depth", F.coalesce(
+        F.sum(F.when(F.col("_inside") == 0, F.col("n0")).otherwise(F.col("n1"))).over(above), F.lit(0)))
+
+    inside = (F.col("_quotes") + F.col("_inside")) % 2
+    placed = (
+        pieces.join(states.select("path", "start", "_inside", "_depth"), ["path", "start"])
+        .withColumn("_net", _net(inside))
+        .withColumn("_from", F.col("_depth") + F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+        .withColumn("_ends", (F.col("_from") + F.col("_net") == 0) & ((inside + F.col("quotes")) % 2 == 0))
+        .withColumn("_record", F.coalesce(F.sum(F.col("_ends").cast("int")).over(earlier), F.lit(0)))
+    )
+    texts = placed.groupBy("path", "start", "_record").agg(
+        F.min("row").alias("row"), F.max("_ends").alias("ended"),
+        F.min_by((F.col("_from") == 0) & (inside == 0), "row").alias("begun"),
+        F.array_sort(F.collect_list(F.struct("row", "value"))).alias("parts")
+    ).withColumn("text", F.concat(F.array_join(F.col("parts.value"), "}"), F.lit("}"))).drop("parts")
+    whole = F.col("ended") & F.col("begun")
+    # At most two fragments a split.
+    order = Window.partitionBy("path").orderBy("start", "_record").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = texts.filter(~whole).withColumn(
+        "_number", F.coalesce(F.sum(F.col("ended").cast("int")).over(order), F.lit(0)))
+    length = F.sum(F.length("text")).over(Window.partitionBy("path", "_number").orderBy("start", "_record"))
+    joined = numbered.withColumn("_length", length).groupBy("path", "_number").agg(
+        F.min(F.struct("start", "row")).alias("first"),
+        F.array_sort(F.collect_list(F.when(
+            F.col("_length") <= record_chars, F.struct("start", "_record", "text")))).alias("parts"))
+    found = texts.filter(whole).select("path", "start", "row", "text").unionByName(joined.select(
+        "path", "first.*", F.array_join(F.col("parts.text"), "").alias("text")))
+    opened = found.filter(F.contains("text", F.lit("{")))
+    return opened.select(
+        F.from_json(F.regexp_replace("text", r"^[^{]*", ""), API_RECORD).alias("record"),
+        F.struct("path", "start", "row").alias("arrival"),
+    ).select("record.*", "arrival")
+
+
 def flatten_pages(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """Records of consecutive pages up to the first stop condition, in page order.
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -136,6 +138,53 @@ def test_json_array_file(spark, tmp_path):
     assert [(r["cusip"], r["highYield"]) for r in rows] == [("A", "4.5"), ("B", None)]
 
 
+@pytest.fixture
+def short_splits(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "0"}
+    old = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_array_file_in_splits(spark, tmp_path, short_splits, indent):
+    """Strings with braces, quotes and backslashes, nested values and long records, over many splits."""
+    rng = random.Random(11)
+    parts = ["{", "}", '"', "\\", "},{", "[", "a", "\u00e9", "\n", ":", ","]
+    want = []
+    for name in ("a.json", "b.json"):
+        rows = []
+        for i in range(40):
+            text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 12, 150 if i == 20 else 5])))
+            rows.append({"cusip": f"{name}{i}", "other": rng.choice([1, None, {"x": {"y": "}"}}, [{}, {"cusip": "no"}]]),
+                         "securityTerm": text, "highYield": rng.choice([None, "4.5"])})
+        (tmp_path / name).write_text(json.dumps(rows, indent=indent))
+        want += [(r["cusip"], r["securityTerm"], r["highYield"]) for r in rows]
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text('{"cusip": "l1"}\n{"cusip": "l2"}\n')
+    want += [("l1", None, None), ("l2", None, None)]
+    read = records.read_auction_array(spark, str(tmp_path))
+    assert records._pieces(spark, str(tmp_path)).select("path", "start").distinct().count() > 20
+    rows = read.orderBy("arrival").collect()
+    assert [(r["cusip"], r["securityTerm"], r["highYield"]) for r in rows] == want
+    assert read.columns == records.read_auction_json(spark, str(tmp_path)).columns
+
+
+def test_faulty_array_file(spark, tmp_path, short_splits):
+    """A cut file gives its whole records and a faulty one; other files lose nothing."""
+    (tmp_path / "a.json").write_text(json.dumps([{"cusip": f"a{i}"} for i in range(30)])[:-9] + '"')
+    (tmp_path / "b.json").write_text('[{"cusip": "b0"}, {"cusip": b1}, {"cusip": "b2"}]')
+    (tmp_path / "c.json").write_text(json.dumps([{"cusip": "c" * 900}, {"cusip": "c1", "highYield": "}" * 900}]))
+    rows = records.read_auction_array(spark, str(tmp_path), record_chars=950).orderBy("arrival").collect()
+    assert [r["cusip"] for r in rows] == [f"a{i}" for i in range(29)] + [None, "b0", None, "b2", "c" * 900, "c1"]
+    short = records.read_auction_array(spark, str(tmp_path), record_chars=500).orderBy("arrival").collect()
+    assert [r["cusip"] for r in short][-2:] == ["c" * 900, None]
+
+
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("phrase,count\ntax,5\ncut,many\n")
     rows = files.read_typed_csv(spark, str(tmp_path / "a.csv"), schemas.PHRASES).orderBy("arrival").collect()
@@ -257,7 +306,6 @@ def test_failed_run_is_noted(spark, tmp_path):
 
 
 def test_stream_picks_up_new_files(spark, tmp_path):
-    import json
     landing, store = tmp_path / "landing", AuctionStore(spark, str(tmp_path / "store"))
     landing.mkdir()
 
