@@ -52,9 +52,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Long tokens that touch no labelled credential."""
+    """Long tokens that touch no labelled credential; ``spans`` are in order of their starts."""
+    at = reach = 0
     for m in CANDIDATE.finditer(text):
-        if not spans or all(m.end() <= start or m.start() >= end for start, _, end, _ in spans):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
             yield m.start(), m.end(), m[0]
 
 
@@ -89,7 +93,7 @@ def infer(values: list[str], alpha: float = 0.05) -> list[dict]:
         return abs(a / n - b / m) > bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def compatible(one: int, two: int) -> bool:
-        todo = [(one, two)]
+        todo, seen = [(one, two)], {(one, two)}
         while todo:
             a, b = todo.pop()
             if differs(ends[a], total[a], ends[b], total[b]):
@@ -97,10 +101,11 @@ def infer(values: list[str], alpha: float = 0.05) -> list[dict]:
             for symbol in children[a].keys() | children[b].keys():
                 if differs(arcs[a].get(symbol, 0), total[a], arcs[b].get(symbol, 0), total[b]):
                     return False
-                if symbol in children[a] and symbol in children[b] and children[a][symbol] != children[b][symbol]:
-                    if len(todo) > 5_000:
-                        return False
-                    todo.append((children[a][symbol], children[b][symbol]))
+                if symbol in children[a] and symbol in children[b]:
+                    pair = children[a][symbol], children[b][symbol]
+                    if pair[0] != pair[1] and pair not in seen:
+                        seen.add(pair)
+                        todo.append(pair)
         return True
 
     def fold(into: int, what: int) -> None:

@@ -197,3 +197,15 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
 def test_swapped_terms():
     assert toxicity.swapped("Women and muslim men.") == "men and christian nonbinary."
     assert toxicity.swapped("nobody is named") is None
+
+
+def test_candidates_touch_no_labelled_span():
+    rng = random.Random(3)
+    parts = ["password=abcdefgh1234", "AKIA" + "A1" * 9, "deadbeef" * 4, "word", "x" * 20, "token: Zz9" + "q" * 20,
+             "secret=" + "ab12" * 8 + ".tail" * 4, "A" * 18 + "/" + "b" * 9]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "\n", "=", "-"]) for _ in range(rng.randrange(12)))
+        spans = secret_scan.base_spans(text)
+        want = [m[0] for m in secret_scan.CANDIDATE.finditer(text)
+                if all(m.end() <= start or m.start() >= end for start, _, end, _ in spans)]
+        assert [value for _, _, value in secret_scan.candidates(text, spans)] == want
