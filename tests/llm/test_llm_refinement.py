@@ -269,3 +269,29 @@ def test_cut_of_long_repeated_and_missing_rows(spark):
     assert suffix_dedup.remove_repeats(df.filter("false")).count() == 0
     spans = suffix_dedup.cut_repeats(df).select(F.col("spans")[0]["end"], F.length("kept_text")).collect()
     assert [tuple(r) for r in spans] == [(800_000, 0)]
+
+
+def test_copies_are_cut_alike_wherever_they_lie(spark, monkeypatch):
+    """Copies across a border of the pieces named at once used to be cut in two ways, which ended in an error."""
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
+    rng = random.Random(5)
+    for _ in range(3):
+        text = "".join(rng.choices("abcdefgh", k=700))
+        docs = [text, "".join(rng.choices("abcdefgh", k=13)), text]
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(df, window=20, gram=4, block=4).collect()}
+        assert got == dict(enumerate(plain_cut([t.encode() for t in docs], 20)))
+
+
+def test_cuts_depend_on_the_text_alone(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 64)
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 105, 150).astype(np.uint8)
+    seen = set()
+    for before in range(0, 90, 7):
+        data = np.concatenate([rng.integers(97, 105, before).astype(np.uint8), text, text[:33]])
+        text_of = np.repeat(np.arange(3, dtype=np.int32), [before, len(text), 33])
+        own, low, at, high, _, whole = suffix_dedup.anchors(data, text_of, 20, 4)
+        seen.add(tuple((int(a) - before, int(b) - before, int(c) - before, int(w))
+                       for o, a, b, c, w in zip(own, low, at, high, whole) if o == 1))
+    assert len(seen) == 1
