@@ -15,6 +15,7 @@ from tenderlens.operators.policy_index import daily_article_counts
 from tenderlens.operators.sections import (extract_sections, parse_article_id, parse_broken_date)
 from tenderlens.plans.ingest import AuctionStore, NewsStore, verify_load
 from tenderlens.session import materialise
+from tenderlens.session import settled as written
 from tenderlens.sources import files, records, tables
 from tenderlens.streaming.ingest import stream_ingest
 from tenderlens.workload import views as v
@@ -502,7 +503,7 @@ def _landed(spark, sf) -> AuctionStore:
     file that came before: its name puts it before the newest file, so it changes nothing.
     """
     folder = scratch(spark)
-    rows = raw_records(spark, sf)
+    rows = written(raw_records(spark, sf), "records")     # read ten times below
     end = rows.agg((F.max("arrival") + 1).alias("end")).scalar()
     thirds = rows.withColumn("third", F.floor(F.col("arrival") * 3 / end))
     store = AuctionStore(spark, f"{folder}/store")

@@ -338,6 +338,28 @@ def test_stream_picks_up_new_files(spark, tmp_path):
     assert rejected_records(spark, str(tmp_path / "nowhere")) is None
 
 
+def test_stream_state_needs_no_python_per_key(spark, tmp_path):
+    """One Python call per key and batch used to take most of the time; keys are now combined before the shuffle."""
+    (tmp_path / "a.json").write_text("{}")
+    stream = spark.readStream.schema(schemas.API_RECORD).json(str(tmp_path))
+    plan = changed_rows(stream)._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
+def test_stream_counts_records_of_all_files_of_a_batch(spark, tmp_path):
+    landing, store = tmp_path / "landing", AuctionStore(spark, str(tmp_path / "store"))
+    landing.mkdir()
+    for batch, highest in enumerate(("4.1", "4.2")):
+        for name in "ab":
+            records = [record(highYield=highest), record(cusip=f"{name}{batch}"), record(cusip=None), record(auctionDate=None)]
+            (landing / f"{batch}{name}.json").write_text(json.dumps(records))
+        stream_ingest(spark, str(landing), store, str(tmp_path / "progress")).awaitTermination()
+    runs = store.ledger.runs().orderBy("update_timestamp").collect()
+    assert [(r["records_fetched"], r["records_inserted"], r["records_updated"]) for r in runs] == [(8, 3, 1), (8, 2, 2)]
+    assert {r["cusip"]: r["high_yield"] for r in store.auctions.read().collect()}["C1"] == Decimal("4.2000")
+    assert rejected_records(spark, str(tmp_path / "progress")).count() == 4
+
+
 def test_stream_plan_reads_no_stored_table(spark, tmp_path):
     (tmp_path / "a.json").write_text("{}")
     stream = spark.readStream.schema(schemas.API_RECORD).json(str(tmp_path))
