@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tenderlens.operators.ordering import running_total
 from tenderlens.schemas import API_RECORD
+from tenderlens.session import materialise
 
 PAGE = T.StructType([
     T.StructField("page", T.LongType()),
@@ -45,16 +46,29 @@ def _braces(segments: Column, parity: int) -> Column:
     return F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The text up to each closing brace."""
+    return with_arrival(spark.read.option("lineSep", "}").text(path)).select("arrival.*", "value")
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """The text up to each closing brace, with its unescaped quotes and the braces it opens.
 
     Which braces stand outside strings depends on whether the piece begins inside one: ``opens`` holds both counts.
+    Where no brace comes after a quote and nothing is escaped, the text need not be cut at its quotes.
     """
-    scan = with_arrival(spark.read.option("lineSep", "}").text(path))
+    value, brace, quote = F.col("value"), F.lit("{"), F.lit('"')
+
+    def times(text, mark):
+        return F.length(text) - F.length(F.replace(text, mark, F.lit("")))
+
+    plain = ~F.contains(value, F.lit("\\")) & (times(value, brace) == times(F.substring_index(value, '"', 1), brace))
     segments = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
-    return scan.select("arrival.*", "value", segments.alias("segments")).select(
-        "path", "start", "row", "value", (F.size("segments") - 1).alias("quotes"),
-        F.array(_braces(F.col("segments"), 0), _braces(F.col("segments"), 1)).alias("opens"))
+    return _scan(spark, path).select(
+        "path", "start", "row", "value",
+        F.when(plain, times(value, quote)).otherwise(F.size(segments) - 1).alias("quotes"),
+        F.when(plain, F.array(times(value, brace), F.lit(0)))
+        .otherwise(F.array(_braces(segments, 0), _braces(segments, 1))).alias("opens"))
 
 
 def _net(inside: Column) -> Column:
@@ -65,6 +79,9 @@ def _net(inside: Column) -> Column:
 def read_auction_array(spark: SparkSession, path: str, record_chars: int = RECORD_CHARS) -> DataFrame:
     """Flat records of JSON arrays of any size, each file read by as many tasks as it has splits.
 
+    Most splits begin between records and every piece of them is one record: these are parsed where they are read.
+    Only the rest is shuffled.
+
     The text is cut at closing braces. Whether such a brace ends a record depends on all quotes and braces above it;
     that state crosses splits as two counters each. A record whose strings hold braces, that has nested values or
     that crosses splits is put together again. Objects one after the other, or one a line, are read alike. Text
@@ -73,19 +90,36 @@ def read_auction_array(spark: SparkSession, path: str, record_chars: int = RECOR
     """
     split = Window.partitionBy("path", "start").orderBy("row")
     earlier = split.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = _pieces(spark, path).withColumn("_quotes", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)))
-    # One row per split.
-    sums = pieces.groupBy("path", "start").agg(
-        F.sum("quotes").alias("q"), *[F.sum(_net((F.col("_quotes") + i) % 2)).alias(f"n{i}") for i in (0, 1)])
+    marked = _pieces(spark, path)
+    # One row per split. If no piece of it holds an odd number of quotes, its sums need no order.
+    opened = F.col("opens")[0]
+    plain = materialise(marked.groupBy("path", "start").agg(
+        (F.max(F.col("quotes") % 2) == 1).alias("uneven"), F.sum("quotes").alias("q"),
+        F.sum(opened - 1).alias("n0"), F.sum(F.col("opens")[1]).alias("n1"),
+        F.count_if(opened != 1).alias("others"), F.max("row").alias("last"),
+        F.max(F.when(opened == 0, F.col("row"))).alias("tail")))
+    uneven = marked.join(F.broadcast(plain.filter("uneven").select("path", "start")), ["path", "start"], "left_semi")
+    ordered = uneven.withColumn("_quotes", F.coalesce(F.sum("quotes").over(earlier), F.lit(0))).groupBy("path", "start").agg(
+        *[F.sum(_net((F.col("_quotes") + i) % 2)).alias(f"m{i}") for i in (0, 1)])
+    # What comes after the last closing brace of a file is a piece too.
+    calm = ~F.col("uneven") & ((F.col("others") == 0) | ((F.col("others") == 1) & F.col("tail").eqNullSafe(F.col("last"))))
+    sums = plain.join(ordered, ["path", "start"], "left").select(
+        "path", "start", "q", *[F.when(F.col("uneven"), F.col(f"m{i}")).otherwise(F.col(f"n{i}")).alias(f"n{i}") for i in (0, 1)],
+        calm.alias("calm"), F.when(F.col("others") > 0, F.col("tail")).alias("tail"))
     above = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     quoted = sums.withColumn("_inside", F.coalesce(F.sum("q").over(above), F.lit(0)) % 2)
-    states = quoted.withColumn("_depth", F.coalesce(
-        F.sum(F.when(F.col("_inside") == 0, F.col("n0")).otherwise(F.col("n1"))).over(above), F.lit(0)))
+    states = materialise(quoted.withColumn("_depth", F.coalesce(
+        F.sum(F.when(F.col("_inside") == 0, F.col("n0")).otherwise(F.col("n1"))).over(above), F.lit(0))).select(
+        "path", "start", "_inside", "_depth", "tail",
+        (F.col("calm") & (F.col("_inside") == 0) & (F.col("_depth") == 0)).alias("_calm")))
+    at_once = _scan(spark, path).join(F.broadcast(states.filter("_calm").select("path", "start", "tail")), ["path", "start"]).filter(
+        "tail IS NULL OR row <> tail").select("path", "start", "row", F.concat("value", F.lit("}")).alias("text"))
+    pieces = marked.join(F.broadcast(states), ["path", "start"]).filter("NOT _calm OR row = tail").drop("_calm", "tail").withColumn(
+        "_quotes", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)))
 
     inside = (F.col("_quotes") + F.col("_inside")) % 2
     placed = (
-        pieces.join(states.select("path", "start", "_inside", "_depth"), ["path", "start"])
-        .withColumn("_net", _net(inside))
+        pieces.withColumn("_net", _net(inside))
         .withColumn("_from", F.col("_depth") + F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
         .withColumn("_ends", (F.col("_from") + F.col("_net") == 0) & ((inside + F.col("quotes")) % 2 == 0))
         .withColumn("_record", F.coalesce(F.sum(F.col("_ends").cast("int")).over(earlier), F.lit(0)))
@@ -106,9 +140,8 @@ def read_auction_array(spark: SparkSession, path: str, record_chars: int = RECOR
         F.array_sort(F.collect_list(F.when(
             F.col("_length") <= record_chars, F.struct("start", "_record", "text")))).alias("parts"))
     found = texts.filter(whole).select("path", "start", "row", "text").unionByName(joined.select(
-        "path", "first.*", F.array_join(F.col("parts.text"), "").alias("text")))
-    opened = found.filter(F.contains("text", F.lit("{")))
-    return opened.select(
+        "path", "first.*", F.array_join(F.col("parts.text"), "").alias("text"))).unionByName(at_once)
+    return found.filter(F.contains("text", F.lit("{"))).select(
         F.from_json(F.regexp_replace("text", r"^[^{]*", ""), API_RECORD).alias("record"),
         F.struct("path", "start", "row").alias("arrival"),
     ).select("record.*", "arrival")
