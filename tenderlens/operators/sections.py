@@ -45,7 +45,7 @@ def extract_sections(lines: DataFrame, file: str = "file", block: str = "block",
     starts = _block_states(marks)
     above = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, -1)
-    state = _with_marker_columns(rows).join(starts, ["file", "block"])
+    state = _with_marker_columns(_dealt(rows, marks)).join(starts, ["file", "block"])
     state = state.withColumns({
         **_before(["opens", "switches", "closes"], above),
         "in_article": F.coalesce(F.last("_turn", ignorenulls=True).over(above), "_start_turn") == OPEN,
@@ -59,6 +59,14 @@ def extract_sections(lines: DataFrame, file: str = "file", block: str = "block",
     return _assemble(state)
 
 
+def _dealt(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Lines in as many tasks as there are blocks, if those are more than a shuffle has: a task sorts a few blocks,
+    however many there are."""
+    blocks = marks.select("file", "block").distinct().count()
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(blocks, "file", "block") if blocks > usual else rows
+
+
 def _with_marker_columns(rows: DataFrame) -> DataFrame:
     kind = F.col("kind")
     return rows.withColumns({

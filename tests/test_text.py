@@ -184,6 +184,17 @@ def brute(streams, sizes=(1, 2, 3)):
     return counts
 
 
+def test_sections_are_dealt_by_block(spark):
+    """A task used to sort a share of all lines that grew with the input; it now sorts a few blocks."""
+    lines = ["head", "Full Text", "a b", "Details", "Publication date: Au g 9, 2025", "Links"]
+    rows = [("f", block, n, line) for block in range(40) for n, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "file string, block long, line_no long, line string").repartition(3)
+    found = sec.extract_sections(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 40" in plan
+    assert sorted((r["number"], r["article"]) for r in found.collect()) == [(n, "a b ") for n in range(1, 41)]
+
+
 @pytest.mark.parametrize("stitched", [False, True])
 def test_ngrams(spark, stitched):
     rng = random.Random(2)
