@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tenderlens.functions.dictionary import TERMS
 from tenderlens.operators import articles as art
 from tenderlens.operators import phrases as ph
 from tenderlens.operators import sections as sec
+from tenderlens.workload import QUERIES, news
 
 
 def one(spark, text, expression):
@@ -245,6 +247,34 @@ def test_sketch_shuffles_few_grams(spark):
     assert kept.count() < 0.05 * everything
 
 
+def test_counts_combine_in_short_tasks(spark, monkeypatch, tmp_path):
+    """However long the scan's splits: a task that combines more n-grams than it can hold spills them all."""
+    monkeypatch.setattr(ph, "PIECE_BYTES", 100)
+    monkeypatch.setattr(ph, "PIECE_TOKENS", 20)
+    words = ["alpha", "beta", "x1", "gamma", "america"]
+    rows = [(i if i % 3 else None, "".join(f"{words[(i * j) % 5]} " for j in range(12)) + "end. Last one. ") for i in range(20)]
+    rows += [(50, None), (51, ""), rows[1]]
+    spark.createDataFrame(rows, "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(len(text or "") for _, text in rows)
+    dealt = ph.in_pieces(docs, "text")
+    assert docs.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == -(-size // 100)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, docs.collect()))
+    assert ph.in_pieces(docs.limit(0), "text").count() == 0
+    tokens = docs.select("doc_id", tx.clean_tokens("text", ["the"]).alias("t"))
+    stream = ph.Grams(tokens, "t", stitch_order=["doc_id"], deal=True)
+    n = -(-sum(len([w for w in r["t"] or [] if w.isalpha()]) for r in tokens.collect()) // 20)
+    assert stream.sequences.rdd.getNumPartitions() == n > 1
+    clean = [[w for w in r["t"] or [] if w.isalpha()] for r in tokens.collect()]
+    got = {r["phrase"]: r["count"] for r in news._counts(spark, str(tmp_path)).collect()}
+    assert got == brute(clean)
+    folded = {(r["words"], r["count"]): r["n_phrases"] for r in news._fold(ph.ngram_counts(tokens, "t")).collect()}
+    assert folded == Counter((len(p.split(" ")), k) for p, k in brute(clean).items())
+    for name, deals in (("distinct_phrases", 1), ("ngram_counts_stitched", 1)):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == deals, name
+
+
 def test_long_texts_and_odd_marks(spark):
     rows = [(0, "Cats: dogs. " * 50_000), (1, "no end"), (2, "Only (one). "), (3, "One. Two? (x. y) Three! the"), (4, "::: . . ! ? "), (5, None), (6, "")]
     df = spark.createDataFrame(rows, "i int, text string")
