@@ -34,19 +34,22 @@ from pyspark.sql import functions as F
 
 from tenderlens.llm.components import connected_components
 from tenderlens.llm.registry import groups_for, query, settled_table, table
+from tenderlens.llm.suffix_dedup import _pieces
 from tenderlens.session import materialise
 
 CHUNK = 500                     # sets of a family verified at once
-_KEYS_PER_GROUP = 1_500_000
+_KEYS_PER_GROUP = 500_000
 _BYTES_PER_GROUP = 16 << 20
+_BYTES_PER_SLICE = 8 << 20      # of text sketched at once, however long a batch is
+_WORDS = 250_000
 _LEAST_BITS = 1024
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered; forgets all when it holds a million words."""
+    """64-bit hash of a word, remembered; forgets all when it holds ``_WORDS`` words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= _WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -134,47 +137,56 @@ def _changes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame:
-    """(kind, a, b, c, sketch): kind 1 is a document (id, size, set) with its dense sketch, kind 0 an edge
-    between two sets with an equal block (set, set, 0)."""
-    names = ("a", "b", "c", "d")
-    fields = pa.schema([("part", pa.int64()), ("kind", pa.int8()), *[(name, pa.binary()) for name in names]])
+_PACKED = ("a", "b", "c", "d")
+
+
+def _packed(width: int, percent: int, groups: int):
+    """Packed rows of (part, kind, a, b, c, d) for every slice of a batch: its documents, and its keys by their group."""
+    fields = pa.schema([("part", pa.int64()), ("kind", pa.int8()), *[(name, pa.binary()) for name in _PACKED]])
 
     def rows(part, kind, *arrays):
-        return {"part": int(part), "kind": kind, **dict.fromkeys(names), **dict(zip(names, [x.tobytes() for x in arrays]))}
+        return {"part": int(part), "kind": kind, **dict.fromkeys(_PACKED), **dict(zip(_PACKED, [x.tobytes() for x in arrays]))}
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tops = WordHashes(), bands(percent)
-        for number, batch in enumerate(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes, sets, keys, owners, dense, done = [], [], [], [], [], set()
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), width, hashes)
-                sizes.append(len(shingles))
-                sets.append(set_id(shingles))
-                dense.append(bit_sketch(shingles))
-                if len(shingles) and sets[-1] not in done:
-                    done.add(sets[-1])
-                    own = block_keys(shingles, percent, tops)
-                    keys.append(own)
-                    owners.append(np.full(len(own), sets[-1], np.int64))
-            sets = np.array(sets, np.int64)
-            place = int(mixed(sets[:1].astype(np.uint64), 1)[0] % np.uint64(groups)) if len(sets) else 0
-            out = [rows(-1 - place, 1, ids, np.array(sizes, np.int64), sets, np.concatenate(dense))] if len(ids) else []
-            if keys:
-                # Every pair goes to its key's group: which set comes first is known only there.
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                part = (key % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                for p, own in zip(*_runs(part[order], order)):
-                    own = own[np.argsort(owner[own], kind="stable")]
-                    held, times = np.unique(owner[own], return_counts=True)
-                    out.append(rows(p, 2, held, times.astype(np.uint32), key[own]))
-            yield pa.RecordBatch.from_pylist(out, schema=fields)
+        for part in (part for batch in batches for part in _pieces(batch, "text", _BYTES_PER_SLICE)):
+            yield pa.RecordBatch.from_pylist(list(packed(part, hashes, tops)), schema=fields)
+
+    def packed(batch: pa.RecordBatch, hashes: WordHashes, tops: np.ndarray) -> Iterator[dict]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, sets, keys, owners, dense, done = [], [], [], [], [], set()
+        for text in batch.column(1):
+            shingles = shingle_set(text.as_py(), width, hashes)
+            sizes.append(len(shingles))
+            sets.append(set_id(shingles))
+            dense.append(bit_sketch(shingles))
+            if len(shingles) and sets[-1] not in done:
+                done.add(sets[-1])
+                own = block_keys(shingles, percent, tops)
+                keys.append(own)
+                owners.append(np.full(len(own), sets[-1], np.int64))
+        sets = np.array(sets, np.int64)
+        place = int(mixed(sets[:1].astype(np.uint64), 1)[0] % np.uint64(groups))
+        yield rows(-1 - place, 1, ids, np.array(sizes, np.int64), sets, np.concatenate(dense))
+        if keys:
+            # Every pair goes to its key's group: which set comes first is known only there.
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            part = (key % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            for p, own in zip(*_runs(part[order], order)):
+                own = own[np.argsort(owner[own], kind="stable")]
+                held, times = np.unique(owner[own], return_counts=True)
+                yield rows(p, 2, held, times.astype(np.uint32), key[own])
 
+    return sketch
+
+
+def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame:
+    """(kind, a, b, c, sketch): kind 1 is a document (id, size, set) with its dense sketch, kind 0 an edge
+    between two sets with an equal block (set, set, 0)."""
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         out, keys, sets = [], [], []
-        for kind, a, b, c, d in zip(*(frame[name] for name in ("kind", *names))):
+        for kind, a, b, c, d in zip(*(frame[name] for name in ("kind", *_PACKED))):
             a = np.frombuffer(a, np.int64)
             if kind == 2:
                 sets.append(np.repeat(a, np.frombuffer(b, np.uint32)))
@@ -189,7 +201,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, groups: int) -> DataFrame
             out.append(pd.DataFrame({"kind": 0, "a": left, "b": right, "c": 0, "sketch": None}))
         return pd.concat(out).astype({"kind": "int8"})
 
-    packed = docs.mapInArrow(sketch, "part long, kind byte, a binary, b binary, c binary, d binary")
+    packed = docs.mapInArrow(_packed(width, percent, groups), "part long, kind byte, a binary, b binary, c binary, d binary")
     return packed.groupBy("part").applyInPandas(match, "kind byte, a long, b long, c long, sketch binary")
 
 

@@ -24,6 +24,7 @@ from tenderlens.llm.registry import query, table, text_or_empty
 MAX_TRAIN_ROWS = 20_000
 MAX_FEATURES = 4_000
 MAX_PAIRS = 20_000
+MAX_SEEN = 250_000              # words a scorer remembers
 # Identity terms by kind; a swap takes the next one of the same kind.
 IDENTITY_TERMS = (
     ("women", "men", "nonbinary"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
@@ -78,7 +79,7 @@ class Scorer:
             for token in set(text.split()):
                 hit = seen.get(token)
                 if hit is None:
-                    if len(seen) > 1_000_000:
+                    if len(seen) >= MAX_SEEN:
                         seen.clear()
                     hit = seen[token] = tuple(f for f in word_features(token) if f in weights)
                 if hit:

@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10 * 1024
 _LOW = np.int64(-(1 << 60))
-_CACHE = 800_000
+_CACHE = 250_000
 
 
 def load_pieces(path: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray]:

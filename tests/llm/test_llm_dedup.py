@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenderlens.llm import exact_dedup, near_dup
@@ -134,6 +135,27 @@ def test_drop_similar_across_batches(spark, small_batches):
     assert kept == {root for _, root in brute_groups(rows, 5, 80).values()}
 
 
+def test_a_long_batch_is_sketched_in_slices(monkeypatch):
+    """What a task holds at once follows the slice, not the batch; no document or key is lost."""
+    monkeypatch.setattr(near_dup, "_BYTES_PER_SLICE", 20_000)
+    monkeypatch.setattr(near_dup, "_WORDS", 50)
+    texts = [" ".join(f"w{(i * 7 + j) % 900}" for j in range(300)).encode() for i in range(60)] + [None, b"x " * 30_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    seen, keys = [], set()
+    for out in near_dup._packed(5, 80, 3)(iter([batch])):
+        for row in out.to_pylist():
+            if row["kind"] == 1:
+                ids = np.frombuffer(row["a"], np.int64).tolist()
+                assert len(ids) == 1 or sum(len(texts[i] or b"") for i in ids) <= 20_000
+                seen += ids
+            else:
+                keys.update(np.frombuffer(row["c"], np.uint64).tolist())
+    tops, hashes = near_dup.bands(80), near_dup.WordHashes()
+    sets = [near_dup.shingle_set(t, 5, hashes) for t in texts]
+    assert seen == list(range(len(texts))) and len(hashes) <= 50
+    assert keys == {k for s in sets if len(s) for k in near_dup.block_keys(s, 80, tops).tolist()}
+
+
 def test_all_sets_of_a_block_meet(spark, small_batches):
     """Every two sets with an equal block stand in one star, whatever batches they came in."""
     rows, tops, hashes = spread_copies(1), near_dup.bands(80), near_dup.WordHashes()
