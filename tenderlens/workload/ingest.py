@@ -14,7 +14,7 @@ from tenderlens.operators.ordering import with_position
 from tenderlens.operators.policy_index import daily_article_counts
 from tenderlens.operators.sections import (extract_sections, parse_article_id, parse_broken_date)
 from tenderlens.plans.ingest import AuctionStore, NewsStore, verify_load
-from tenderlens.session import materialise
+from tenderlens.session import DROP_SHUFFLES, materialise, settings
 from tenderlens.session import settled as written
 from tenderlens.sources import files, records, tables
 from tenderlens.streaming.ingest import stream_ingest
@@ -26,6 +26,7 @@ from tenderlens.workload.views import using
 
 
 ARRAY_RECORDS = 10_000      # records of one array file
+LANDED_RECORDS = 200_000    # records of one landing file, some 16 MB: it is compressed, so one task reads it whole
 
 
 # --- parsing -----------------------------------------------------------------------------
@@ -503,15 +504,18 @@ def _landed(spark, sf) -> AuctionStore:
     file that came before: its name puts it before the newest file, so it changes nothing.
     """
     folder = scratch(spark)
-    rows = written(raw_records(spark, sf), "records")     # read ten times below
-    end = rows.agg((F.max("arrival") + 1).alias("end")).scalar()
-    thirds = rows.withColumn("third", F.floor(F.col("arrival") * 3 / end))
     store = AuctionStore(spark, f"{folder}/store")
-    for landed in ({"1": 0}, {"2": 1, "3": 2}, {"2b": 1}):
-        for name, third in landed.items():
-            ordered = thirds.filter(F.col("third") == third).drop("third").orderBy("arrival")
-            ordered.drop("arrival").write.json(f"{folder}/landing/{name}")
-        stream_ingest(spark, f"{folder}/landing/*", store, f"{folder}/progress", multi_line=False).awaitTermination()
+    with settings(spark, DROP_SHUFFLES):
+        rows = written(raw_records(spark, sf), "records", compression="zstd")     # read ten times below
+        end = rows.agg((F.max("arrival") + 1).alias("end")).scalar()
+        thirds = rows.withColumn("third", F.floor(F.col("arrival") * 3 / end))
+        for landed in ({"1": 0}, {"2": 1, "3": 2}, {"2b": 1}):
+            for name, third in landed.items():
+                ordered = thirds.filter(F.col("third") == third).drop("third").orderBy("arrival")
+                (ordered.drop("arrival").write.options(compression="gzip", maxRecordsPerFile=LANDED_RECORDS)
+                 .json(f"{folder}/landing/{name}"))
+            stream_ingest(spark, f"{folder}/landing/*", store, f"{folder}/progress", multi_line=False,
+                          split_bytes="32m").awaitTermination()
     return store
 
 

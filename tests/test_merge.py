@@ -1,6 +1,8 @@
 import datetime as dt
+import gzip
 import json
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -11,7 +13,7 @@ from tenderlens.operators import joins, merge
 from tenderlens.plans.ingest import AuctionStore, NewsStore, ingest_batch
 from tenderlens.sources import files, records
 from tenderlens.sources.tables import PartitionedTable, RunLedger, hash_folder, load_table, save_table
-from tenderlens.streaming.ingest import changed_rows, rejected_records, stream_ingest
+from tenderlens.streaming.ingest import changed_rows, record_entries, rejected_records, stream_ingest
 
 
 def record(**fields):
@@ -375,6 +377,66 @@ def test_stream_counts_records_of_all_files_of_a_batch(spark, tmp_path):
     assert rejected_records(spark, str(tmp_path / "progress")).count() == 4
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stream_leaves_no_shuffle_files(spark, tmp_path):
+    """They used to stay on disk until the driver's garbage was collected, those of all batches together."""
+    landing, store = tmp_path / "landing", AuctionStore(spark, str(tmp_path / "store"))
+    landing.mkdir()
+    before, settings = shuffle_files(spark), {k: v for k, v in spark.conf.getAll.items()}
+    for batch in range(2):
+        (landing / f"{batch}.json").write_text(json.dumps([record(cusip=f"C{i}", highYield=f"4.{batch}") for i in range(20)]))
+        stream_ingest(spark, str(landing), store, str(tmp_path / "progress")).awaitTermination()
+    assert store.auctions.read().count() == 20
+    end = time.time() + 20
+    while (kept := {f for f in shuffle_files(spark) - before if f.endswith(".data")}) and time.time() < end:
+        time.sleep(0.2)     # they are removed in the background
+    # Left are the caller's own: count() above and the ledger's last date of each batch.
+    assert len({f.split("_")[1] for f in kept}) <= 3
+    assert {k: v for k, v in spark.conf.getAll.items()} == settings
+
+
+def test_state_names_the_place_of_a_failed_record_once(spark):
+    records = raw(spark, record(), record(cusip=None)).drop("arrival").withColumns(
+        {"path": F.lit("a.json"), "start": F.lit(0).cast("long"), "row": F.lit(7).cast("long")})
+    entries = {(r["kind"], r["cusip"]): (r["path"], r["start"], r["row"]) for r in record_entries(records).collect()}
+    assert entries == {("security", "C1"): ("a.json", 0, 7), ("auction", "C1"): ("a.json", 0, 7), ("bidder", "C1"): ("a.json", 0, 7),
+                       ("rejected", "a.json:0:7"): (None, None, None), ("file", "a.json"): (None, None, None)}
+
+
+def test_landing_files_of_the_query_are_compressed_and_short(spark, tmp_path, monkeypatch):
+    """Plain text files took half of the disk; many short ones in order of arrival give the same rows."""
+    import duckdb
+    from tenderlens.workload import ORACLES, QUERIES, ingest
+    day, tables = dt.datetime(2000, 1, 15), str(tmp_path / "sf")
+    frames = {
+        "customer": ([(i, f"c{i}", i % 25, 10.5 + i, "BUILDING") for i in range(5)],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(i, i % 5, "O", 100.0 + i, day + dt.timedelta(days=31 * (i % 3)), "1") for i in range(90)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": ([(i, 1, 1, n, 10.0, 50.0 + i, n / 100, 0.02, "ANR"[(i + n) % 3], "FO"[n % 2], day) for i in range(90) for n in (1, 2)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    }
+    duck = duckdb.connect()
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tables}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(ingest, "scratch", lambda spark: str(tmp_path / "scratch"))
+    monkeypatch.setattr(ingest, "LANDED_RECORDS", 7, raising=False)
+    df = QUERIES["stream_ingest"](spark, tables)
+    got, wanted = df.collect(), duck.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['stream_ingest']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str) and len(got) > 10
+    landed = sorted((tmp_path / "scratch" / "landing").glob("*/part-*"))
+    assert {f.suffix for f in landed} == {".gz"}
+    counts = {name: [len(gzip.open(f, "rt").readlines()) for f in landed if f.parent.name == name] for name in ("1", "2", "3", "2b")}
+    assert {name: sum(n) for name, n in counts.items()} == {"1": 30, "2": 30, "3": 30, "2b": 30}
+    assert max(max(n) for n in counts.values()) <= 7
+
+
 def test_stream_plan_reads_no_stored_table(spark, tmp_path):
     (tmp_path / "a.json").write_text("{}")
     stream = spark.readStream.schema(schemas.API_RECORD).json(str(tmp_path))
